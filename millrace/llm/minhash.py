@@ -28,7 +28,7 @@ from millrace.llm.common import connected_components, discard, free_shuffles, ma
 SKETCH = 64
 MIN_SHARED = 30
 SHORT_LIST = 32
-BLOCK = 1024
+BLOCK = 512
 
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -86,22 +86,25 @@ def _blocks(percent: int):
         side, n = table["side"].to_numpy(), table["n"].to_numpy()
         sk = table["sketch"].to_pylist()
         left, right = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]
-        values, code = np.unique(np.concatenate([np.asarray(s, np.int64) for s in sk]), return_inverse=True)
-        rows = np.repeat(np.arange(len(sk)), [len(s) for s in sk])
-        hit = np.zeros((len(sk), len(values)), np.float32)
-        hit[rows, code] = 1
-        out_a, out_b = [], []
-        need = np.minimum(MIN_SHARED, np.ceil(n * 0.75)).astype(int)
-        for at in range(0, len(left), 256):
-            part = left[at : at + 256]
-            shared = hit[part] @ hit[right].T
-            ok = (shared >= np.maximum(need[part][:, None], need[right][None, :])) & (comps[part][:, None] != comps[right][None, :]) & (ids[part][:, None] < ids[right][None, :]) | (
-                (shared >= np.maximum(need[part][:, None], need[right][None, :])) & (comps[part][:, None] != comps[right][None, :]) & (ids[part][:, None] > ids[right][None, :]) & (side[part] == 0)[:, None]
-            )
-            i, j = np.nonzero(ok)
-            out_a.append(np.minimum(ids[part[i]], ids[right[j]]))
-            out_b.append(np.maximum(ids[part[i]], ids[right[j]]))
-        return pa.table({"a": np.concatenate(out_a) if out_a else np.empty(0, np.int64), "b": np.concatenate(out_b) if out_b else np.empty(0, np.int64)})
+        flat, rows = np.concatenate([np.asarray(s, np.int64) for s in sk]), np.repeat(np.arange(len(sk)), [len(s) for s in sk])
+        values, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = times[code] > 1
+        rows, code = rows[keep], (np.cumsum(times > 1) - 1)[code[keep]]
+        order = np.argsort(code, kind="stable")
+        rows, code = rows[order], code[order]
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            lo, hi = np.searchsorted(code, [at, at + 4096])
+            hit = np.zeros((len(sk), 4096), np.float32)
+            hit[rows[lo:hi], code[lo:hi] - at] = 1
+            shared += hit[left] @ hit[right].T
+        need = np.minimum(MIN_SHARED, np.ceil(n * 0.75))
+        ok = (shared >= np.maximum(need[left][:, None], need[right][None, :])) & (comps[left][:, None] != comps[right][None, :])
+        if (side == 2).any():
+            ok &= ids[left][:, None] < ids[right][None, :]
+        i, j = np.nonzero(ok)
+        x, y = ids[left[i]], ids[right[j]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return run
 
