@@ -127,6 +127,57 @@ def window_hashes(h: np.ndarray, width: int, other: bool = False) -> np.ndarray:
     return (mix64(out) >> np.uint64(1)).astype(np.int64)
 
 
+FILTER_BITS = 26
+_FILTER_BLOCK = 1 << 17  # bytes
+
+
+def _filter_places(ids: np.ndarray) -> list[np.ndarray]:
+    h = ids.astype(np.int64).view(np.uint64)
+    return [(mix64(h * np.uint64(2) + np.uint64(k)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for k in range(3)]
+
+
+def _filter_rows(batches: Iterator[pa.RecordBatch]):
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for b in batches:
+        for at in _filter_places(b.column(0).drop_null().to_numpy()):
+            bits[at] = True
+    packed = np.packbits(bits)
+    for k in range(0, len(packed), _FILTER_BLOCK):
+        if packed[k : k + _FILTER_BLOCK].any():
+            yield pa.record_batch([pa.array([k // _FILTER_BLOCK], pa.int32()), pa.array([packed[k : k + _FILTER_BLOCK].tobytes()], pa.binary())], ["block", "bits"])
+
+
+def _join_filters(table: pa.Table) -> pa.Table:
+    out = np.zeros(_FILTER_BLOCK, np.uint8)
+    for x in table["bits"]:
+        out |= np.frombuffer(x.as_buffer(), np.uint8)
+    return pa.table({"block": table["block"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+
+def id_filter(ids: DataFrame):
+    """A broadcast Bloom filter of a column of ids, 8 MB at every size of the input; if it fills up, more ids pass and results stay the same."""
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in map_arrow(ids, _filter_rows, "block int, bits binary").groupBy("block").applyInArrow(_join_filters, "block int, bits binary").collect():
+        out[r["block"] * _FILTER_BLOCK : (r["block"] + 1) * _FILTER_BLOCK] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(out)
+
+
+def passing(df: DataFrame, id_col: str, shared, wanted: bool = True) -> DataFrame:
+    """Rows whose id passes the filter (or does not); a null id does not pass."""
+    at = df.columns.index(id_col)
+
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            ids = b.column(at).fill_null(0).to_numpy()
+            ok = ~b.column(at).is_null().to_numpy(zero_copy_only=False)
+            for p in _filter_places(ids):
+                ok &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
+            yield b.filter(pa.array(ok if wanted else ~ok))
+
+    return map_arrow(df, run, df.schema)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph edges(a, b) as (id, component_id), the smallest id of each.
 

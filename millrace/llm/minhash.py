@@ -10,7 +10,9 @@ Hence both documents share 30 retained values, and the first of them in any comm
 (shared values - 29) of either. The order is by rarity: a passage that very many documents hold ranks last and makes
 no list, unless nearly half of a document consists of such passages. Lists are first joined to their smallest
 document alone (linear); documents that this leaves in different components meet in pairs if their list is short and
-in blocks of sketches if it is long, so groups of copies of any size are never expanded into all pairs.
+in blocks of sketches if it is long, so groups of copies of any size are never expanded into all pairs. This second
+step looks at the documents of such lists alone and with sketches of 1,024 values, 690 of them shared: a passage
+now has to be two thirds of a document before it can bring candidates.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from millrace.llm.common import connected_components, discard, free_shuffles, ma
 
 SKETCH = 64
 MIN_SHARED = 30
+#: The larger sketch of documents that short ones leave undecided.
+LARGE = 1024
+LARGE_SHARED = 690
 SHORT_LIST = 32
 BLOCK = 512
 
@@ -74,8 +79,25 @@ def estimate_shared(a, b):
     return F.size(F.array_intersect(F.array_intersect(a, b), F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)))
 
 
-def _needed(n):
-    return F.least(F.lit(MIN_SHARED), F.ceil(n * F.lit(0.75))).cast("int")
+def _needed(n, least: int = MIN_SHARED):
+    return F.least(F.lit(least), F.ceil(n * F.lit(0.75))).cast("int")
+
+
+def _large_sketch(width: int):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            sets = [shingle_set(t, width) for t in text_bytes(b.column(1))]
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:LARGE] for s in sets], pa.list_(pa.int64()))], ["id", "n", "sketch"])
+
+    return run
+
+
+def _prefixes(sketches: DataFrame, least: int) -> DataFrame:
+    """(v, id): of each sketch's values that others hold too, the rarest that a pair with enough shared ones must meet in."""
+    values = sketches.select("id", _needed(F.col("n"), least).alias("need"), F.explode("sketch").alias("v"))
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = values.join(counts, "v").groupBy("id", "need").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    return shared.where("size(vs) >= need").select("id", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)).alias("x")).select("id", F.col("x.v").alias("v"))
 
 
 def _blocks(percent: int):
@@ -98,8 +120,9 @@ def _blocks(percent: int):
             hit = np.zeros((len(sk), 4096), np.float32)
             hit[rows[lo:hi], code[lo:hi] - at] = 1
             shared += hit[left] @ hit[right].T
-        need = np.minimum(MIN_SHARED, np.ceil(n * 0.75))
-        ok = (shared >= np.maximum(need[left][:, None], need[right][None, :])) & (comps[left][:, None] != comps[right][None, :])
+        need = np.minimum(LARGE_SHARED, np.ceil(n * 0.75))
+        ok = 100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])
+        ok &= (shared >= np.maximum(need[left][:, None], need[right][None, :])) & (comps[left][:, None] != comps[right][None, :])
         if (side == 2).any():
             ok &= ids[left][:, None] < ids[right][None, :]
         i, j = np.nonzero(ok)
@@ -130,11 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(prof.select("id", "n", "key").join(classes, "key", "left").select("id", "n", "rep"), "members")
     reps = members.where("id = rep").select("id").distinct()
     sk = prof.where("key is not null").join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch")
-    values = sk.select("id", _needed(F.col("n")).alias("need"), F.explode("sketch").alias("v"))
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = values.join(counts, "v").groupBy("id", "need").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    prefix = shared.where("size(vs) >= need").select("id", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)).alias("x")).select("id", F.col("x.v").alias("v"))
-    keys = materialize(prefix, "keys")
+    keys = materialize(_prefixes(sk, MIN_SHARED), "keys")
     live = materialize(sk.join(keys.select("id").distinct(), "id", "left_semi"), "live")
     discard(prof)
     free_shuffles(spark)
@@ -155,19 +174,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = keys.groupBy("v").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     star = links(keys.join(lists, "v").select("a", F.col("id").alias("b")).where("a <> b").distinct())
     comps = materialize(connected_components(star), "components")
-    # what the stars left apart: lists that still hold several components
+    # what the stars left apart: documents of lists that still hold several components, now with larger sketches
     tagged = keys.join(comps, "id", "left").select("v", "id", F.coalesce("component_id", "id").alias("comp"))
-    open_lists = tagged.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 2 and lo <> hi").select("v", "size", "first")
+    open_lists = tagged.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("size > 2 and lo <> hi").select("v")
+    undecided = tagged.join(open_lists, "v", "left_semi").select("id", "comp").distinct()
+    held = texts.join(undecided, "id", "left_semi").dropDuplicates(["id"])
+    large = materialize(map_arrow(held, _large_sketch(width), "id long, n long, sketch array<long>").join(undecided, "id"), "large")
+    del tagged, open_lists, undecided, held
+    free_shuffles(spark)
+    tagged = materialize(_prefixes(large, LARGE_SHARED).join(large.select("id", "comp"), "id"), "tagged")
+    open_lists = tagged.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("size > 1 and lo <> hi").select("v", "size")
     rest = materialize(tagged.join(open_lists, "v"), "rest")
-    x = rest.where(F.col("size") <= SHORT_LIST).where("id <> first")
+    x = rest.where(F.col("size") <= SHORT_LIST)
     pairs = x.select("v", F.col("id").alias("a"), F.col("comp").alias("ca")).join(x.select("v", F.col("id").alias("b"), F.col("comp").alias("cb")), "v").where("a < b and ca <> cb").select("a", "b").distinct()
     long = rest.where(F.col("size") > SHORT_LIST).withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(id), nb) as int)"))
     long = long.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("v", "id", "comp", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"))
-    blocks = long.join(live, "id").select("v", "id", "comp", "i", "j", "side", "n", "sketch").groupBy("v", "i", "j").applyInArrow(_blocks(percent), "a long, b long")
+    blocks = long.join(large.select("id", "n", "sketch"), "id").groupBy("v", "i", "j").applyInArrow(_blocks(percent), "a long, b long")
     more = links(pairs.unionByName(blocks).distinct())
     final = connected_components(star.unionByName(more)) if not more.isEmpty() else comps
     out = members.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component_id", "rep", "id").alias("component_id"))
-    for t in (keys, live, rest):
+    for t in (keys, live, large, tagged, rest):
         discard(t)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import discard, free_shuffles, map_arrow, materialize, text_bytes, window_hashes, word_hashes
+from millrace.llm.common import discard, free_shuffles, id_filter, map_arrow, materialize, passing, text_bytes, window_hashes, word_hashes
 
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members.
 COVER = (0, 1, 3, 8, 12, 18)
@@ -127,18 +127,29 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchors = map_arrow(texts, _anchor_rows(window), "h long, id long")
     several = anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
     shared = materialize(anchors.join(several, "h").groupBy("id").agg(F.collect_set("h").alias("shared")), "anchors")
+    del anchors, several
     free_shuffles(spark)
-    rows = texts.join(shared, "id").select("id", "text", "shared")
+    # only texts that may hold shared anchors are shuffled
+    rows = passing(texts.where("id is not null"), "id", id_filter(shared.select("id"))).join(shared, "id").select("id", "text", "shared")
     windows = materialize(map_arrow(rows, _window_rows(window), "h long, c int, id long"), "windows")
+    del rows
     free_shuffles(spark)
     first = windows.groupBy("h", "c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "c", "lo")
     out = materialize(windows.join(first, ["h", "c"]).where("id > lo").groupBy("id").agg(F.collect_set("h").alias("gone")), "gone")
     discard(shared)
     discard(windows)
+    del first
     free_shuffles(spark)
     return out
 
 
+def _with_gone(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """rows and their column gone (null for most); only rows that may have one are shuffled. id_col is a long."""
+    shared = id_filter(gone.select("id"))
+    some = passing(rows, id_col, shared).join(gone, F.col(id_col) == F.col("id"), "left").drop("id")
+    return some.unionByName(passing(rows, id_col, shared, wanted=False).withColumn("gone", F.lit(None).cast("array<bigint>")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, with_text: bool = True) -> DataFrame:
     """Return (id_col, n_words, n_removed, kept_sha256[, kept_text]), one row per input row.
 
@@ -151,18 +162,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result; other columns, whatever their names, are ignored.
     """
     gone = repeated_windows(docs, id_col, text_col, window)
-    x = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).join(gone, F.col("_doc") == F.col("id"), "left")
+    x = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_key"), F.col(id_col).alias("_doc"))
+    x = _with_gone(x, "_key", gone)
     schema = f"_doc {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return map_arrow(x.select("_text", "gone", "_doc"), _kept(window, with_text), schema).withColumnRenamed("_doc", id_col)
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """docs with repeated passages cut out of text_col; all rows, columns and their order stay. Edge cases as in remove_repeats()."""
-    gone = repeated_windows(docs, id_col, text_col, window).select(F.col("id").alias("_mr_id"), F.col("gone").alias("_mr_gone"))
+    gone = repeated_windows(docs, id_col, text_col, window)
     names = docs.columns
     safe = docs.toDF(*[f"c{k}" for k in range(len(names))])
     doc, text = (safe[f"c{names.index(c)}"] for c in (id_col, text_col))
-    x = safe.join(gone, doc == F.col("_mr_id"), "left").select(text.cast("string").alias("_mr_text"), "_mr_gone", *safe.columns)
+    x = _with_gone(safe.withColumns({"_mr_text": text.cast("string"), "_mr_key": doc.cast("long")}), "_mr_key", gone).select("_mr_text", "gone", *safe.columns)
     schema = T.StructType([*safe.schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string").fields])
     out = map_arrow(x, _kept(window, True), schema)
     return out.select(*[(F.col("kept_text") if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)])
