@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 WORD_GAPS = b" \t\n\x0b\x0c\r"
 #: Rows handed to Python code at a time, so that very long texts never fill a worker.
 SLICE_ROWS = 256
+BATCH_ROWS = 1024
 
 _written: list[str] = []
 
@@ -74,7 +75,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow over bounded slices of the input batches."""
+    """mapInArrow over bounded slices of the input batches.
+
+    Where the session has Spark's default of 10,000 rows a batch it gets BATCH_ROWS: batches of whole texts would
+    fill JVM and Python worker otherwise.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):
         yield from fn(slices(batches))
@@ -162,18 +170,22 @@ def id_filter(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(out)
 
 
-def passing(df: DataFrame, id_col: str, shared, wanted: bool = True) -> DataFrame:
-    """Rows whose id passes the filter (or does not); a null id does not pass."""
+def passes(ids: pa.Array, shared) -> np.ndarray:
+    """Which ids the filter lets pass; a null id does not pass."""
+    bits = shared.value
+    ok = ~ids.is_null().to_numpy(zero_copy_only=False)
+    for p in _filter_places(ids.fill_null(0).to_numpy()):
+        ok &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+def passing(df: DataFrame, id_col: str, shared) -> DataFrame:
+    """Rows whose id passes the filter."""
     at = df.columns.index(id_col)
 
     def run(batches):
-        bits = shared.value
         for b in batches:
-            ids = b.column(at).fill_null(0).to_numpy()
-            ok = ~b.column(at).is_null().to_numpy(zero_copy_only=False)
-            for p in _filter_places(ids):
-                ok &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
-            yield b.filter(pa.array(ok if wanted else ~ok))
+            yield b.filter(pa.array(passes(b.column(at), shared)))
 
     return map_arrow(df, run, df.schema)
 

@@ -10,6 +10,7 @@ padding, but a shorter window has a penalty too. The stream is handled in stretc
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,23 +40,30 @@ def tokenizer(path: str, ranks: str | None):
     """
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
-    ends = np.zeros(exact.get_vocab_size(), bool)
-    for piece, k in exact.get_vocab().items():
-        ends[k] = piece[-1:] in ".!?" or "Ċ" in piece
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
     if ranks is None:
+        exact = Tokenizer.from_file(path)
+        ends = np.zeros(exact.get_vocab_size(), bool)
+        for piece, k in exact.get_vocab().items():
+            ends[k] = piece[-1:] in ".!?" or "Ċ" in piece
         return lambda text: np.asarray(exact.encode(text, add_special_tokens=False).ids, np.uint32), ends
     import public_tokenizers
     import tiktoken
 
+    with open(path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ends = np.zeros(max([*table.values(), *special.values()]) + 1, bool)
+    for piece, k in table.items():
+        ends[k] = piece[-1:] in b".!?" or b"\n" in piece
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    whole: list[Tokenizer] = []  # loaded for the first text that needs it
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.asarray(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+            if not whole:
+                whole.append(Tokenizer.from_file(path))
+            return np.asarray(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(fast.encode_ordinary(text), np.uint32)
 
     return encode, ends

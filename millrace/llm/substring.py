@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import discard, free_shuffles, id_filter, map_arrow, materialize, passing, text_bytes, window_hashes, word_hashes
+from millrace.llm.common import discard, free_shuffles, id_filter, map_arrow, materialize, passes, passing, text_bytes, window_hashes, word_hashes
 
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members.
 COVER = (0, 1, 3, 8, 12, 18)
@@ -91,9 +91,14 @@ def _window_rows(window: int):
     return run
 
 
-def _kept(window: int, with_text: bool):
+def _kept(window: int, with_text: bool, shared=None):
+    """Rows (text, windows to remove, others); with a filter, rows (text, id, others) whose id does not pass it lose nothing and the rest is left out."""
+
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
+            if shared is not None:
+                b = b.filter(pa.array(~passes(b.column(1), shared)))
+                b = b.set_column(1, "gone", pa.nulls(b.num_rows, pa.list_(pa.int64())))
             n_words, n_removed, digests, texts = [], [], [], []
             for t, gone in zip(text_bytes(b.column(0)), b.column(1)):
                 words = t.split() if t else []
@@ -143,11 +148,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out
 
 
-def _with_gone(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """rows and their column gone (null for most); only rows that may have one are shuffled. id_col is a long."""
+def _apply(rows: DataFrame, gone: DataFrame, window: int, with_text: bool, schema) -> DataFrame:
+    """_kept() over rows (_mr_text, _mr_key, others): only those that may lose words are shuffled, to meet their windows."""
     shared = id_filter(gone.select("id"))
-    some = passing(rows, id_col, shared).join(gone, F.col(id_col) == F.col("id"), "left").drop("id")
-    return some.unionByName(passing(rows, id_col, shared, wanted=False).withColumn("gone", F.lit(None).cast("array<bigint>")))
+    others = rows.columns[2:]
+    some = passing(rows, "_mr_key", shared).join(gone, F.col("_mr_key") == F.col("id"), "left").select("_mr_text", "gone", *others)
+    rest = rows.select("_mr_text", "_mr_key", *others)
+    return map_arrow(some, _kept(window, with_text), schema).unionByName(map_arrow(rest, _kept(window, with_text, shared), schema))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, with_text: bool = True) -> DataFrame:
@@ -162,10 +169,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result; other columns, whatever their names, are ignored.
     """
     gone = repeated_windows(docs, id_col, text_col, window)
-    x = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_key"), F.col(id_col).alias("_doc"))
-    x = _with_gone(x, "_key", gone)
+    x = docs.select(F.col(text_col).cast("string").alias("_mr_text"), F.col(id_col).cast("long").alias("_mr_key"), F.col(id_col).alias("_doc"))
     schema = f"_doc {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return map_arrow(x.select("_text", "gone", "_doc"), _kept(window, with_text), schema).withColumnRenamed("_doc", id_col)
+    return _apply(x, gone, window, with_text, schema).withColumnRenamed("_doc", id_col)
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -174,7 +180,7 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     safe = docs.toDF(*[f"c{k}" for k in range(len(names))])
     doc, text = (safe[f"c{names.index(c)}"] for c in (id_col, text_col))
-    x = _with_gone(safe.withColumns({"_mr_text": text.cast("string"), "_mr_key": doc.cast("long")}), "_mr_key", gone).select("_mr_text", "gone", *safe.columns)
+    x = safe.select(text.cast("string").alias("_mr_text"), doc.cast("long").alias("_mr_key"), *safe.columns)
     schema = T.StructType([*safe.schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string").fields])
-    out = map_arrow(x, _kept(window, True), schema)
+    out = _apply(x, gone, window, True, schema)
     return out.select(*[(F.col("kept_text") if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)])
