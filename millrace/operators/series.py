@@ -36,7 +36,7 @@ statement("permutation_difference", "SELECT b, round(avg(CASE WHEN g = 1 THEN x
 statement("graph_degree", "SELECT n, count(*) AS deg FROM (SELECT c_nationkey AS n FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}) GROUP BY n")
 statement("pagerank_step", "SELECT dst, round(0.15e0 / 25 + 0.85e0 * sum(w / out_), 6) AS r FROM (SELECT r_regionkey AS src, n_nationkey AS dst, 0.04e0 AS w FROM {region} JOIN {nation} ON n_regionkey = r_regionkey) JOIN (SELECT n_regionkey, count(*) AS out_ FROM {nation} GROUP BY n_regionkey) ON src = n_regionkey GROUP BY dst")
 statement("histogram_split_gain", "SELECT b, round(sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n, 1) AS gain FROM (SELECT b, sum(sb) OVER (ORDER BY b) AS sl, sum(nb) OVER (ORDER BY b) AS nl, sum(sb) OVER () AS s, sum(nb) OVER () AS n FROM (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS b, sum(l_extendedprice / 1000) AS sb, count(*) * 1e0 AS nb FROM {lineitem} GROUP BY CAST(floor(l_quantity / 5) AS BIGINT))) WHERE nl < n")
-statement("ordered_target_statistics", "SELECT o_orderkey, round((coalesce(sum(o_totalprice / 1000) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) + 100) / (count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1), 8) AS ctr FROM {orders}")
+statement("ordered_target_statistics", "SELECT o_orderkey, round((coalesce(sum(CAST(floor(o_totalprice / 1000) AS BIGINT)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 100) * 1.0000001e0 / (count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1), 5) AS ctr FROM {orders}")
 statement("adaboost_weights", "SELECT toxic, hit, round(sum(CASE WHEN hit = 1 THEN exp(-a) ELSE exp(a) END), 5) AS w FROM (SELECT toxic, CASE WHEN toxic = quality THEN 1 ELSE 0 END AS hit FROM {labels}), (SELECT 0.5e0 * ln((1 - e) / e) AS a FROM (SELECT avg(CASE WHEN toxic = quality THEN 0e0 ELSE 1e0 END) AS e FROM {labels})) GROUP BY toxic, hit")
 statement("gini_impurity", "SELECT b, round(1 - sum(p * p), 6) AS gini FROM (SELECT b, n / (sum(n) OVER (PARTITION BY b)) AS p FROM (SELECT l_linenumber AS b, l_returnflag, count(*) * 1e0 AS n FROM {lineitem} GROUP BY l_linenumber, l_returnflag)) GROUP BY b")
 statement("argsort", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal, c_custkey) AS BIGINT) AS pos FROM {customer}")
