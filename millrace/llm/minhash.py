@@ -100,6 +100,24 @@ def _prefixes(sketches: DataFrame, least: int) -> DataFrame:
     return shared.where("size(vs) >= need").select("id", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)).alias("x")).select("id", F.col("x.v").alias("v"))
 
 
+def spanning_edges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of edges (a, b) that join all that the edges join, one fewer than each component has nodes."""
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = k = root.setdefault(up, up)
+        return k
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            out.append(k)
+    return np.array(out, np.int64)
+
+
 def _blocks(percent: int):
     """Cross-component pairs of one list's block pair that pass the sketch estimate."""
 
@@ -125,8 +143,17 @@ def _blocks(percent: int):
         ok &= (shared >= np.maximum(need[left][:, None], need[right][None, :])) & (comps[left][:, None] != comps[right][None, :])
         if (side == 2).any():
             ok &= ids[left][:, None] < ids[right][None, :]
-        i, j = np.nonzero(ok)
-        x, y = ids[left[i]], ids[right[j]]
+        # sketches of smaller documents are their whole sets: there the comparison is exact and a spanning forest enough
+        whole = (n[left] < LARGE)[:, None] & (n[right] < LARGE)[None, :]
+        union = n[left][:, None] + n[right][None, :] - shared
+        exact = ok & whole & (100 * shared >= percent * union)
+        i, j = np.nonzero(ok & ~whole)
+        x, y = [ids[left[i]]], [ids[right[j]]]
+        i, j = np.nonzero(exact)
+        forest = spanning_edges(left[i], right[j])
+        x.append(ids[left[i[forest]]])
+        y.append(ids[right[j[forest]]])
+        x, y = np.concatenate(x), np.concatenate(y)
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return run
