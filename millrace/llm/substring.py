@@ -138,10 +138,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = passing(texts.where("id is not null"), "id", id_filter(shared.select("id"))).join(shared, "id").select("id", "text", "shared")
     windows = materialize(map_arrow(rows, _window_rows(window), "h long, c int, id long"), "windows")
     del rows
+    discard(shared)
     free_shuffles(spark)
-    first = windows.groupBy("h", "c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "c", "lo")
+    first = windows.groupBy("h", "c").agg(F.min("id").alias("lo"))
     out = materialize(windows.join(first, ["h", "c"]).where("id > lo").groupBy("id").agg(F.collect_set("h").alias("gone")), "gone")
-    discard(shared)
     discard(windows)
     del first
     free_shuffles(spark)
