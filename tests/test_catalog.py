@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from millrace import catalog
-from millrace.operators import linear, metrics, preprocessing, series, vectors  # noqa: F401
+from millrace.operators import evaluation, linear, metrics, preprocessing, series, tensors, vectors  # noqa: F401
 from millrace.plans.sqltext import TABLES
 
 SF = "/root/testdata/sf0.001"
