@@ -51,7 +51,7 @@ for name, expr in {
     "huber_loss": "avg(CASE WHEN abs(t - p) <= 1 THEN 0.5e0 * (t - p) * (t - p) ELSE abs(t - p) - 0.5e0 END)",
     "logcosh_loss": "avg(abs(t - p) + ln(1 + exp(-2 * abs(t - p))) - ln(2e0))",
 }.items():
-    statement(name, f"SELECT round({expr}, 5) AS v FROM {REG}")
+    statement(name, f"SELECT round({expr}, 7) AS v FROM {REG}")
 statement("d2_absolute_error", f"SELECT round(1 - a / b, 6) AS v FROM (SELECT avg(abs(t - p)) AS a FROM {REG}), (SELECT avg(abs(t - m)) AS b FROM {REG}, (SELECT percentile(t, 0.5) AS m FROM {REG}))")
 statement("d2_pinball_score", f"SELECT round(1 - a / b, 6) AS v FROM (SELECT avg(CASE WHEN t >= p THEN 0.9e0 * (t - p) ELSE 0.1e0 * (p - t) END) AS a FROM {REG}), (SELECT avg(CASE WHEN t >= m THEN 0.9e0 * (t - m) ELSE 0.1e0 * (m - t) END) AS b FROM {REG}, (SELECT percentile(t, 0.9) AS m FROM {REG}))")
 RANK = "(SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS ideal, l_quantity AS rel FROM {lineitem})"
