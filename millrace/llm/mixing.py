@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 #: Sources up to this number are broadcast with their distributions; more are joined by key.
 BROADCAST_SOURCES = 10_000
-LARGEST_RATE = 200.0
+#: A larger rate is drawn as the sum of equal parts up to this, as a sum of independent Poisson counts is one.
+PART_RATE = 200.0
+#: Copies made at a time, so that no array grows with the rate.
+COPIES = 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -32,8 +35,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, sourc
     """(source, rate): mean repetitions, so that each source makes its weight of epochs times the input's UTF-8 bytes.
 
     Without weights every source that has text weighs the same. Sources that weights does not name have rate 0, a
-    null source is a source of its own (named by None). Rates above 200 would repeat a source beyond use and are
-    refused by a job failure.
+    null source is a source of its own (named by None). A rate may be of any size: a source of few bytes is repeated
+    until it makes its weight.
     """
     sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")).alias("bytes"))
     all_ = sizes.agg(F.sum("bytes").alias("total"), F.sum((F.col("bytes") > 0).cast("long")).alias("n"))
@@ -46,7 +49,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, sourc
         for k, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(w / scale)).otherwise(weight)
     rate = F.when(F.col("bytes") > 0, weight * F.lit(float(epochs)) * F.col("total") / F.col("bytes")).otherwise(F.lit(0.0))
-    return x.select("source", rate.alias("rate")).where(F.assert_true(F.col("rate") <= LARGEST_RATE, "a source would be repeated more than 200 times").isNull())
+    return x.select("source", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", epochs: float = 1.0, seed: int = 0) -> DataFrame:
@@ -57,7 +60,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     share one draw per source and text. Empty texts are repeated at their source's rate; a source without any text
     goes. Columns of docs named copy or shuffle_key are replaced. An empty table gives an empty result.
     """
-    rates = source_rates(docs, weights, source_col, text_col, epochs).withColumn("_mr_steps", poisson_steps(F.col("rate"))).select(F.col("source").alias("_mr_source"), "_mr_steps")
+    rates = source_rates(docs, weights, source_col, text_col, epochs).withColumn("_mr_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE).cast("int")))
+    rates = rates.withColumn("_mr_steps", poisson_steps(F.col("rate") / F.col("_mr_parts"))).select(F.col("source").alias("_mr_source"), "_mr_parts", "_mr_steps")
     few = rates.select("_mr_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     keep = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     x = docs.select(*keep)
@@ -65,7 +69,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     x = x.join(F.broadcast(rates) if few else rates, F.col(source_col).cast("string").eqNullSafe(F.col("_mr_source")))
     x = x.withColumn("_mr_u", uniform(F.lit(f"{seed}"), F.lit("count"), who))
     x = x.withColumn("_mr_n", F.size(F.filter("_mr_steps", lambda s: F.col("_mr_u") >= s)))
-    x = x.where("_mr_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mr_n") - 1)))
+    part = lambda k: uniform(F.lit(f"{seed}"), F.concat(F.lit("count "), k.cast("string")), who)
+    rest = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_mr_parts") - 1), part), F.lit(0), lambda n, u: n + F.size(F.filter("_mr_steps", lambda s: u >= s)))
+    x = x.withColumn("_mr_n", F.when(F.col("_mr_parts") > 1, F.col("_mr_n") + rest).otherwise(F.col("_mr_n")))
+    x = x.where("_mr_n > 0").withColumn("_mr_at", F.explode(F.sequence(F.lit(0), F.col("_mr_n") - 1, F.lit(COPIES))))
+    x = x.withColumn("copy", F.explode(F.sequence(F.col("_mr_at"), F.least(F.col("_mr_at") + (COPIES - 1), F.col("_mr_n") - 1))))
     x = x.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.lit("order"), who, F.col("copy").cast("string")).cast("binary")))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return x.select(*keep, "copy", "shuffle_key").repartitionByRange(n, "shuffle_key").sortWithinPartitions("shuffle_key")

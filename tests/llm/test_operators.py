@@ -245,6 +245,20 @@ def test_poisson_counts(spark):
     assert abs((20_000 - len(n)) / 20_000 - np.exp(-2.5)) < 0.01
 
 
+def test_mixing_of_tiny_sources(spark):
+    rows = [(k, "x" * 10_000, "hot") for k in range(40)] + [(k, "abc", "tiny") for k in range(100, 110)] + [(200, "ab" * 20, None), (201, "", None)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(x, seed=3).toPandas()
+    total = 40 * 10_000 + 10 * 3 + 40
+    assert not got.duplicated(["doc_id", "copy"]).any()
+    for i, bytes_ in ((100, 30), (109, 30), (200, 40), (201, 40)):
+        own, rate = got[got.doc_id == i], total / 3 / bytes_
+        assert abs(len(own) - rate) < 6 * rate**0.5 and sorted(own["copy"]) == list(range(len(own)))
+    assert 0 < (got.source == "hot").sum() < 40
+    counts = got[got.source == "tiny"].groupby("doc_id").size()
+    assert counts.nunique() > 5
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack(docs).toPandas()
     encode, _ = packing.tokenizer(str(__import__("public_tokenizers").path("byte_bpe_50k.json")), None)
