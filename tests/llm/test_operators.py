@@ -216,6 +216,25 @@ def test_language_model(spark, docs, rows, empty):
     assert mixing_lm.score(empty).count() == 0
 
 
+def test_language_model_new_tokens(spark):
+    rng = random.Random(11)
+    rows, fresh = [], 0
+    for k in range(300):
+        w = some_words(rng, 40)
+        for j in range(0, 40, 4):
+            w[j], fresh = f"once{fresh}", fresh + 1
+        rows.append((k, " ".join(w)))
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    got = mixing_lm.score(x).toPandas()
+    new = got[got.held_out]
+    # a quarter of all tokens is new: two bits each and the known ones' entropy, far from log2 of the token count
+    assert -new.score.sum() / np.log10(2) / new.n_tokens.sum() < 0.76 * np.log2(400) + 1.5
+    # a smaller head moves tokens to the tail; those held once cost alike
+    low = mixing_lm.score(x, head=300).toPandas()
+    train = got.merge(low, on="doc_id").query("not held_out_x")
+    assert abs(train.score_x.sum() / train.score_y.sum() - 1) < 0.1
+
+
 def test_urls(spark):
     rows = [(1, "http://a.com/en/1", None), (2, "https://B.Example.com/en/7x?q", "<p>cheap pills</p>"), (3, "ftp://x.net/de/8", ""), (4, "http://example.net/de/8", None), (5, "x.org/es/", None), (6, None, None), (None, "http://spamfarmcheappills.info/free", None), (8, "http://h?x://y/en/", None), (9, "http://notcom/en/", None)]
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
