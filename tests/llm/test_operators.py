@@ -235,6 +235,34 @@ def test_language_model_new_tokens(spark):
     assert abs(train.score_x.sum() / train.score_y.sum() - 1) < 0.1
 
 
+def test_short_texts_adapt():
+    import types
+
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = [" ".join(x for w in rng.choices(WORDS[:50], k=30) for x in (w, w.upper() + "x")).encode() for _ in range(200)]
+    counts = pd.Series([w for t in texts for w in [*t.lower().split(), b""]]).value_counts()
+    pairs = [(int(h), int(c)) for h, c in zip(mixing_lm.token_hashes(list(counts.index)), counts) if c > 1]
+    voc = mixing_lm.Vocabulary(pairs, int(counts.sum()), int((counts == 1).sum()))
+    table = np.zeros(mixing_lm.ALL_CELLS, np.int32)
+    for b in mixing_lm._table_rows(types.SimpleNamespace(value=voc))(iter([pa.record_batch([pa.array(texts, pa.binary())], ["t"])])):
+        part = np.frombuffer(pa.decompress(b.column(1)[0].as_buffer(), mixing_lm.BLOCK_CELLS * 4, "zstd"), np.int32)
+        at = b.column(0)[0].as_py() * mixing_lm.BLOCK_CELLS
+        table[at : at + len(part)] = part[: mixing_lm.ALL_CELLS - at]
+    fixed, learned = mixing_lm.Mixer(table, voc), mixing_lm.Mixer(table, voc, texts[:100])
+    new = [[*t.lower().split(), b""] for t in (b"w1 w1x w2 w2x w7 w7x " * 4, b"w3 w3x", b"")]
+
+    def bits(mixer, texts, rate=0.3):
+        ids, _ = mixing_lm.TokenIds(voc).of([w for t in texts for w in t])
+        return mixer.bits(texts, ids, np.ones(len(texts), bool), rate)[0]
+
+    assert voc.length[mixing_lm.TokenIds(voc).of(new[0])[0]].sum() < 4096
+    assert bits(fixed, new)[0] < bits(fixed, new, 0.0)[0]
+    assert bits(learned, new, 0.0)[0] < bits(fixed, new, 0.0)[0]
+    assert np.allclose(bits(learned, new), [bits(learned, [t])[0] for t in new], rtol=1e-5)
+
+
 def test_urls(spark):
     rows = [(1, "http://a.com/en/1", None), (2, "https://B.Example.com/en/7x?q", "<p>cheap pills</p>"), (3, "ftp://x.net/de/8", ""), (4, "http://example.net/de/8", None), (5, "x.org/es/", None), (6, None, None), (None, "http://spamfarmcheappills.info/free", None), (8, "http://h?x://y/en/", None), (9, "http://notcom/en/", None)]
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
