@@ -32,7 +32,9 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 DROPPED = ".,-_~^'`\"*:;/\\#%&=<>[]{})?"
 SIGN_COST, DROP_COST, SIGN_DROP_COST, WILD_COST, HALVE_COST = 0.7, 0.4, 12.0, 1.5, 6.0
 EDGES = ".,;:!?\"'`()[]{}<>*&%#=/\\~^_-…«»“”‘’¿"
-DRAWN_OUT = re.compile(r"([^\W\d_])\1\1")
+DOUBLED = re.compile(r"([^\W\d_])\1")
+#: What a word break costs within a spelled run, beyond what the letter model says of word ends and beginnings.
+BREAK_COST = 1.0
 SPELLED = re.compile(r"(?<!\S)(?:[^\W_] ){3,}[^\W_](?!\w)|(?<!\S)(?:[^\W_][.\-_*]){3,}[^\W_](?!\w)")
 
 
@@ -59,10 +61,14 @@ def _code(letter: str) -> int:
     return k if 1 <= k <= 26 else 27
 
 
-def restore(token: str, model: CharModel) -> str:
-    """The likeliest word behind a token, by Viterbi decoding of its lattice; the state is the last two letters."""
+def restore(token: str, model: CharModel, breaks: bool = False) -> str:
+    """The likeliest word behind a token, by Viterbi decoding of its lattice; the state is the last two letters.
+
+    With `breaks` it may be several words, joined by spaces. Paths share their beginnings, so a token of any length
+    takes time and memory in proportion to it.
+    """
     runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token)]
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for sign, times in runs:
         if sign.isalpha() and sign not in SIGNS:
             options = [(sign, 0.0)] if times == 1 else [(sign * 2, 0.0), (sign, HALVE_COST)] if times == 2 else [(sign, 0.0), (sign * 2, 0.5)]
@@ -71,7 +77,7 @@ def restore(token: str, model: CharModel) -> str:
             options.append(("", SIGN_DROP_COST if options or sign == "*" else DROP_COST))
             if sign == "*":
                 options += [(chr(97 + k), WILD_COST) for k in range(26)]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (u, v), (score, out) in paths.items():
             for letters, cost in options:
                 a, b, s = u, v, score - cost
@@ -80,18 +86,28 @@ def restore(token: str, model: CharModel) -> str:
                     s += model.logp[a][b][k]
                     a, b = b, k
                 if (a, b) not in new or s > new[a, b][0]:
-                    new[a, b] = (s, out + letters)
+                    new[a, b] = (s, (out, letters) if letters else out)
+        if breaks:
+            s, out = max(((s + model.logp[a][b][0] - BREAK_COST, out) for (a, b), (s, out) in new.items() if b), default=(0.0, None), key=lambda p: p[0])
+            if out and ((0, 0) not in new or s > new[0, 0][0]):
+                new[0, 0] = (s, (out, " "))
         paths = new
-    return max(((s + model.logp[a][b][0], out) for (a, b), (s, out) in paths.items()), default=(0.0, ""))[1]
+    out, found = max(((s + (model.logp[a][b][0] if b or not breaks else 0.0), out) for (a, b), (s, out) in paths.items()), default=(0.0, None), key=lambda p: p[0])[1], []
+    while out:
+        out, letters = out
+        found.append(letters)
+    return "".join(reversed(found)).strip(" ")
 
 
 class Restorer:
     """Words of a text: plain ones as they are, tampered ones restored (both forms count)."""
 
-    def __init__(self, counts: np.ndarray, longest: int = 40):
-        self.model, self.longest, self.known = CharModel(counts), longest, {}
+    def __init__(self, counts: np.ndarray, remembered: int = 40):
+        self.model, self.remembered, self.known = CharModel(counts), remembered, {}
 
     def word(self, token: str) -> str:
+        if len(token) > self.remembered:
+            return restore(token, self.model)
         if token not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
@@ -101,21 +117,22 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         low = text.lower()
         out = set()
-        drawn = DRAWN_OUT.search(low) is not None
         for t in set(low.split()):
             s = t.strip(EDGES)
             if s.isalpha():
                 out.add(s)
-                if drawn and DRAWN_OUT.search(s) and len(s) <= self.longest:
+                if DOUBLED.search(s):
                     out.add(self.word(s))
             elif s:
                 out.update(re.findall(r"[^\W\d_]{2,}", s))
-                if len(t) <= self.longest and any(c.isalpha() for c in t):
+                if any(c.isalpha() for c in t):
                     out.add(self.word(s))
                     if s != t and (t[0] in SIGNS or t[-1] in SIGNS):
                         out.add(self.word(t.strip(".,;:?\"'")))
         for m in SPELLED.finditer(low):
-            out.add(self.word(re.sub(r"[ .\-_*]", "", m[0])[: self.longest]))
+            run = re.sub(r"[ .\-_*]", "", m[0])
+            out.add(self.word(run))
+            out.update(restore(run, self.model, breaks=True).split())
         return out
 
     def features(self, text: str) -> set[str]:

@@ -164,6 +164,18 @@ def test_restores_signs():
     assert [r.word(w) for w in ("$tup1d", "l0s3r", "cl.o.wn", "tr@sh", "m0r0n")] == ["stupid", "loser", "clown", "trash", "moron"]
 
 
+def test_restores_any_length():
+    counts = np.zeros(toxicity.CLASSES**3, np.int64)
+    for w in ("you", "stupid", "loser", "clown", "are", "trash", "moron", "feed") * 50:
+        counts += toxicity.trigram_counts(w.encode())
+    r = toxicity.Restorer(counts)
+    assert {"you", "stupid"} <= r.words(" ".join("youstupid"))
+    assert {"clown", "moron", "trash"} <= r.words("x " + " ".join("youare" * 8 + "clown" + "youare" + "moron" + "you" + "trash"))
+    assert "stupid" in r.words("stuupid") and "feed" in r.words("feed")
+    assert "stupid" in r.words("st" + "u" * 60 + "pid") and "stupid" in r.words("$tu" + "." * 50 + "p1d")
+    assert len(r.word("a1" * 100_000)) >= 100_000
+
+
 def test_transport(docs, rows, empty):
     for n in (0, 1, 64, 169, 170, 171, 183, 184, 4096, 50_000):
         data = random.Random(n).randbytes(n)
