@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 50 words that an earlier one holds; those of which nothing is left go."""
-    return clean_documents(docs).where("text is null or trim(text) <> ''")
+    """Documents without passages of 50 words that an earlier one holds; those that lose all their words go."""
+    return clean_documents(docs, drop_used_up=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,8 +174,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _apply(x, gone, window, with_text, schema).withColumnRenamed("_doc", id_col)
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """docs with repeated passages cut out of text_col; all rows, columns and their order stay. Edge cases as in remove_repeats()."""
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, drop_used_up: bool = False) -> DataFrame:
+    """docs with repeated passages cut out of text_col; all rows, columns and their order stay. Edge cases as in remove_repeats().
+
+    With `drop_used_up`, rows that lost words and have none left go.
+    """
     gone = repeated_windows(docs, id_col, text_col, window)
     names = docs.columns
     safe = docs.toDF(*[f"c{k}" for k in range(len(names))])
@@ -183,4 +186,6 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x = safe.select(text.cast("string").alias("_mr_text"), doc.cast("long").alias("_mr_key"), *safe.columns)
     schema = T.StructType([*safe.schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string").fields])
     out = _apply(x, gone, window, True, schema)
+    if drop_used_up:
+        out = out.where("not (n_words > 0 and n_removed = n_words)")
     return out.select(*[(F.col("kept_text") if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)])

@@ -351,6 +351,15 @@ def test_queries_over_small_tables(spark):
     assert QUERIES["op1_toxicity"](spark, SF).count() == n
 
 
+def test_pipeline_keeps_clean_empty_texts(spark):
+    import corpus_pipeline
+
+    passage = " ".join(WORDS[:60])
+    rows = [(1, passage), (2, passage), (3, ""), (4, "  "), (5, "\t\n"), (6, None), (7, "a b")]
+    got = corpus_pipeline.substrings(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3, 4, 5, 6, 7]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
