@@ -43,6 +43,7 @@ statement("argsort", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctb
 statement("top_k", "SELECT o_custkey, o_orderkey, CAST(k AS BIGINT) AS k FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM {orders}) WHERE k <= 3")
 statement("unique_counts", "SELECT p_brand, count(*) AS n FROM {part} GROUP BY p_brand")
 statement("searchsorted", "SELECT s_suppkey, count(c_custkey) AS pos FROM {supplier} LEFT JOIN (SELECT c_custkey, c_acctbal FROM {customer} WHERE c_custkey % 10 = 0) ON c_acctbal < s_acctbal GROUP BY s_suppkey")
+statement("searchsorted_all", "SELECT s_suppkey, coalesce(pos, 0) AS pos FROM {supplier} LEFT JOIN (SELECT v, CAST(sum(n) OVER (ORDER BY v) - n AS BIGINT) AS pos FROM (SELECT v, sum(c) AS n FROM (SELECT c_acctbal AS v, 1 AS c FROM {customer} WHERE c_acctbal IS NOT NULL UNION ALL SELECT s_acctbal, 0 FROM {supplier} WHERE s_acctbal IS NOT NULL) GROUP BY v)) ON v = s_acctbal")
 statement("setdiff", "SELECT c_custkey FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
 statement("intersect1d", "SELECT c_custkey FROM {customer} INTERSECT SELECT o_custkey FROM {orders}")
 statement("softmax", "SELECT c_custkey, round(exp((c_acctbal - m) / 1000) / s, 8) AS p FROM {customer} JOIN (SELECT c_nationkey AS k, m, sum(exp((c_acctbal - m) / 1000)) AS s FROM {customer} JOIN (SELECT c_nationkey AS g, max(c_acctbal) AS m FROM {customer} GROUP BY c_nationkey) ON c_nationkey = g GROUP BY c_nationkey, m) ON c_nationkey = k")
