@@ -285,6 +285,20 @@ def test_urls(spark):
     assert urls.segment("cheappills", words, -8.0) == ["cheap", "pills"]
 
 
+def test_urls_of_rare_words(spark):
+    def word(k):
+        return "".join(chr(97 + k // 26**j % 26) for j in range(4)) + "qz"
+
+    # 60,000 words that occur twice each, two rare ones, and a path piece with a word across its 63rd letter
+    html = [" ".join(word(k) for k in range(lo, lo + 1000)) for lo in range(0, 60_000, 1000)]
+    rows = [(k, "http://a.info/x", h) for k, h in enumerate(html * 2)]
+    rows.append((900, "http://zzrarewordzzotherword.info/", "zzrareword zzotherword"))
+    rows.append((901, "http://a.info/" + "zzrareword" * 10, None))
+    got = {r["page_id"]: r["tokens"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "h:zzrareword" in got[900] and "h:zzotherword" in got[900]
+    assert got[901].count("p:zzrareword") == 10
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs, seed=4).toPandas()
     assert set(got.columns) == {*docs.columns, "shuffle_key"}
