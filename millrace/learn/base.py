@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 LIMIT = 20_000
 #: Partial sums that the driver adds up itself; the tasks' own are added to as many on the executors first.
 FAN_IN = 64
+#: Bytes of input up to which the tasks' sums go to the driver as they are.
+SMALL = 2 << 30
 
 
 class NotFitted(RuntimeError):
@@ -51,6 +53,10 @@ class Estimator:
             raise NotFitted(f"{type(self).__name__} has no {name}: fit it first")
         raise AttributeError(f"{type(self).__name__} has no attribute {name}")
 
+    def __getstate__(self) -> dict:
+        """What a task needs of a model: parameters and state, no tables."""
+        return {"params": self.params, "state": self.state}
+
     def clone(self, **params) -> "Estimator":
         return type(self)(**{**self.params, **params})
 
@@ -158,8 +164,8 @@ def _batch(b: pa.RecordBatch, finite: bool) -> dict[str, np.ndarray]:
 def total(rows: DataFrame, fn: Callable[..., dict[str, np.ndarray]], finite: bool = True) -> dict[str, np.ndarray]:
     """Sums over all batches of the arrays that fn(**columns) returns; {} for an empty table.
 
-    Every task returns its own sums, one row per name; these are added up on the executors first, so the driver gets
-    at most FAN_IN rows of the size of the result for each name.
+    Every task returns its own sums, one row per name. Beyond SMALL bytes of input, which come in a few tasks, these
+    are added up on the executors first, so the driver gets at most FAN_IN rows of the result's size for each name.
     """
 
     def part(batches: Iterator[pa.RecordBatch]):
@@ -175,7 +181,9 @@ def total(rows: DataFrame, fn: Callable[..., dict[str, np.ndarray]], finite: boo
         yield _packed(_added(batches))
 
     schema = "name string, shape array<int>, v array<double>"
-    out = rows.mapInArrow(part, schema).repartition(F.spark_partition_id() % FAN_IN).mapInArrow(add, schema)
+    out = rows.mapInArrow(part, schema)
+    if int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SMALL:
+        out = out.repartition(F.spark_partition_id() % FAN_IN).mapInArrow(add, schema)
     return _added(out.toArrow().to_batches())
 
 

@@ -106,7 +106,7 @@ def grow(rows: DataFrame, borders, n_trees: int, max_depth: int, stats, gain, le
         own = list(range(at, min(n_trees, at + group)))
         trees = [Tree() for _ in own]
         active = [[0] for _ in own]
-        for level in range(max_depth + 1):
+        for level in range(max(1, max_depth)):
             if not any(active):
                 break
             packed = [t.pack() if level else None for t in trees]
@@ -158,7 +158,7 @@ def grow(rows: DataFrame, borders, n_trees: int, max_depth: int, stats, gain, le
                 for f in range(d):
                     ok[:, f, len(cuts[f]) :] = False
                 g = np.where(ok, g, -np.inf)
-                if level == max_depth:
+                if not max_depth:
                     active[k] = []
                     continue
                 if oblivious:

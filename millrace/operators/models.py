@@ -393,9 +393,9 @@ def target_encoder_crossfit(spark, sf_dir):
     return preprocess.TargetEncoder().fit_transform(x, ["m"], "y", "id").select("id", F.round("m_target", 5).alias("m_target"))
 
 
-@model("recursive_elimination", "SELECT 'q' AS kept")
+@model("recursive_elimination")
 def recursive_elimination(spark, sf_dir):
-    """Prices follow the quantity; discount and tax go first, by standardised weights."""
+    """The last feature left by standardised weights."""
     x = preprocess.StandardScaler().fit_transform(lines(spark, sf_dir), XQ)
     return frame(spark, [(c,) for c in preprocess.RFE(estimator=linear.LinearRegression()).fit(x, XQ, "p").kept_], "kept string")
 
