@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,12 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a temporary one serves local sessions alone."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/millrace-{sc.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -136,6 +139,7 @@ def window_hashes(h: np.ndarray, width: int, other: bool = False) -> np.ndarray:
 
 
 FILTER_BITS = 26
+SALTS = 64
 _FILTER_BLOCK = 1 << 17  # bytes
 
 
@@ -152,7 +156,7 @@ def _filter_rows(batches: Iterator[pa.RecordBatch]):
     packed = np.packbits(bits)
     for k in range(0, len(packed), _FILTER_BLOCK):
         if packed[k : k + _FILTER_BLOCK].any():
-            yield pa.record_batch([pa.array([k // _FILTER_BLOCK], pa.int32()), pa.array([packed[k : k + _FILTER_BLOCK].tobytes()], pa.binary())], ["block", "bits"])
+            yield pa.record_batch([pa.array([k // _FILTER_BLOCK], pa.int32()), pa.array([salt()], pa.int32()), pa.array([packed[k : k + _FILTER_BLOCK].tobytes()], pa.binary())], ["block", "salt", "bits"])
 
 
 def _join_filters(table: pa.Table) -> pa.Table:
@@ -162,10 +166,21 @@ def _join_filters(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
 
 
+def salt() -> int:
+    """A number of the task, by which blocks that every task makes are first merged in SALTS groups."""
+    task = TaskContext.get()
+    return task.partitionId() % SALTS if task else 0
+
+
+def merged(rows: DataFrame, join: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Rows (block, salt, data) merged by block in two steps, so that no task gets all tasks' rows of a block."""
+    return rows.groupBy("block", "salt").applyInArrow(join, schema).groupBy("block").applyInArrow(join, schema)
+
+
 def id_filter(ids: DataFrame):
     """A broadcast Bloom filter of a column of ids, 8 MB at every size of the input; if it fills up, more ids pass and results stay the same."""
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in map_arrow(ids, _filter_rows, "block int, bits binary").groupBy("block").applyInArrow(_join_filters, "block int, bits binary").collect():
+    for r in merged(map_arrow(ids, _filter_rows, "block int, salt int, bits binary"), _join_filters, "block int, bits binary").collect():
         out[r["block"] * _FILTER_BLOCK : (r["block"] + 1) * _FILTER_BLOCK] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return ids.sparkSession.sparkContext.broadcast(out)
 

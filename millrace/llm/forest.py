@@ -5,7 +5,8 @@ cuts near the middle, and sends vectors within `spill` of the cut down both bran
 leaves only, across many trees, by exact cosine in double precision; verified links are counted and united.
 
 The trees' directions and cuts are fitted on a bounded sample (`sample` vectors with the smallest hash of their id);
-every vector is indexed. Depth follows the number of vectors, so leaves keep their size as the input grows. Equal
+every vector is indexed. Depth follows the number of vectors, so leaves keep their size as the input grows, while
+the forest that every task gets keeps the size that the sample gives it. Equal
 vectors are one class before anything is compared, with their number as weight. A leaf with more than `leaf_cap`
 classes is split into pairs of blocks, so no task ever holds an unbounded leaf. A leaf emits one row per linked
 vector (its links there and the smallest linked id), never its pairs; a pair that meets in several leaves counts in
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import connected_components, discard, map_arrow, materialize
 
 
+#: Sample vectors that a node has when it is fitted on them.
+FITTED = 16
+
+
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, matrix) of a batch of vectors, zero padded to the longest and of unit length; length 0 if unusable."""
     rows = column.to_pylist()
@@ -51,15 +56,24 @@ def _profile(batches: Iterator[pa.RecordBatch]):
 
 
 class Forest:
-    """Random-projection trees as arrays: node k of a tree has the children 2k + 1 and 2k + 2."""
+    """Random-projection trees as arrays: node k of a tree has the children 2k + 1 and 2k + 2.
+
+    The first levels are fitted on the sample, as far as a node has FITTED of its vectors. Below, all nodes of a tree's
+    level share one random direction, and each cuts at the mean of the sample's vectors in its fitted ancestor, so the
+    forest has a size that the sample bounds whatever the depth.
+    """
 
     def __init__(self, sample: np.ndarray, trees: int, depth: int, spill: float, seed: int = 0):
         rng = np.random.default_rng(seed)
-        nodes = 2**depth - 1
+        fitted = max(0, min(depth, int(math.log2(max(1, len(sample) / FITTED)))))
+        nodes = 2**fitted - 1
         dim = sample.shape[1]
-        self.trees, self.depth, self.spill, self.dim = trees, depth, spill, dim
+        self.trees, self.depth, self.fitted, self.spill, self.dim = trees, depth, fitted, spill, dim
         self.directions = np.zeros((trees, nodes, dim), np.float32)
         self.cuts = np.zeros((trees, nodes), np.float32)
+        self.below = rng.standard_normal((trees, depth - fitted, dim)).astype(np.float32)
+        self.below /= np.maximum(np.linalg.norm(self.below, axis=2, keepdims=True), 1e-30)
+        self.middles = np.zeros((trees, depth - fitted, 2**fitted), np.float32)
         for t in range(trees):
             held = {0: np.arange(len(sample))}
             for k in range(nodes):
@@ -73,16 +87,24 @@ class Forest:
                 cut = float(np.quantile(p, rng.uniform(0.4, 0.6))) if len(own) else 0.0
                 self.directions[t, k], self.cuts[t, k] = d, cut
                 held[2 * k + 1], held[2 * k + 2] = own[p <= cut], own[p > cut]
+            for k, own in held.items():
+                if len(own):
+                    self.middles[t, :, k - nodes] = self.below[t] @ sample[own].mean(0)
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cells): every leaf that each row of x reaches, cells ascending within a row."""
         rows, cells = [], []
         for t in range(self.trees):
-            at, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                p = np.einsum("ij,ij->i", x[at], self.directions[t, node]) - self.cuts[t, node]
+            at, node, home = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+            for level in range(self.depth):
+                if level < self.fitted:
+                    p = np.einsum("ij,ij->i", x[at], self.directions[t, node]) - self.cuts[t, node]
+                else:
+                    k = level - self.fitted
+                    home = node - (2**self.fitted - 1) if not k else home
+                    p = (x @ self.below[t, k])[at] - self.middles[t, k, home]
                 low, high = p <= self.spill, p > -self.spill
-                at, node = np.concatenate([at[low], at[high]]), np.concatenate([2 * node[low] + 1, 2 * node[high] + 2])
+                at, home, node = np.concatenate([at[low], at[high]]), np.concatenate([home[low], home[high]]), np.concatenate([2 * node[low] + 1, 2 * node[high] + 2])
             rows.append(at)
             cells.append(node - (2**self.depth - 1) + t * 2**self.depth)
         rows, cells = np.concatenate(rows), np.concatenate(cells)

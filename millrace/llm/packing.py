@@ -207,7 +207,7 @@ def _pack(path: str, ranks: str | None, window: int, end_id: int):
         for b in batches:
             kind = b.column(0).type
             for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
-                packer.add(i, np.append(encode(t.decode()) if t else np.empty(0, np.uint32), np.uint32(end_id)))
+                packer.add(i, np.append(encode(t.decode("utf-8", "replace")) if t else np.empty(0, np.uint32), np.uint32(end_id)))
             if rows := packer.pieces():
                 yield batch(rows, kind)
         packer.finish()

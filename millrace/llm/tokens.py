@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, text_bytes
 
-LEAF_CHARS = 512
+LEAF_CHARS = 128
 
 
 @lru_cache(4)
@@ -72,11 +72,22 @@ class TokenTree:
         self.count, self.size, self.encoded = count, size, 0
         self._build(leaves(text, size))
 
-    def _build(self, parts: list[str]) -> None:
+    @classmethod
+    def restore(cls, parts: list[str], tokens: list[int], count, size: int = LEAF_CHARS) -> "TokenTree":
+        """The tree of leaves whose counts are known: nothing is encoded."""
+        out = object.__new__(cls)
+        out.count, out.size, out.encoded = count, size, 0
+        out._build(parts or [""], tokens or [0])
+        return out
+
+    def leaf_tokens(self) -> list[int]:
+        return self.tokens[self.width : self.width + len(self.parts)]
+
+    def _build(self, parts: list[str], known: list[int] | None = None) -> None:
         self.parts = parts
         self.width = 1 << max(0, (len(parts) - 1).bit_length())
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for k, n in enumerate(self._encode(parts)):
+        for k, n in enumerate(self._encode(parts) if known is None else known):
             self.chars[self.width + k], self.tokens[self.width + k] = len(parts[k]), n
         for k in range(self.width - 1, 0, -1):
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -156,7 +167,7 @@ def _tree_rows(path: str, size: int):
         for b in batches:
             rows = []
             for t, edits in zip(text_bytes(b.column(0)), b.column(1).to_pylist()):
-                tree = TokenTree(t.decode() if t else "", count, size)
+                tree = TokenTree(t.decode("utf-8", "replace") if t else "", count, size)
                 before, chars, leaves_, first = tree.total, tree.chars[1], len(tree.parts), tree.encoded
                 for e in edits or ():
                     if e is not None and e["begin"] is not None:
@@ -181,6 +192,62 @@ def count_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(x, _tree_rows(rank_file(path), leaf_chars), schema).withColumnRenamed("_mr_id", id_col)
 
 
+TREE = "parts array<string>, leaf_tokens array<long>, n_tokens long, n_chars_encoded long"
+
+
+def _tree_row(tree: TokenTree) -> tuple:
+    kept = [k for k, part in enumerate(tree.parts) if part]  # slots that edits emptied go
+    tokens = tree.leaf_tokens()
+    return [tree.parts[k] for k in kept], [tokens[k] for k in kept], tree.total, tree.encoded
+
+
+def _tree_batch(b: pa.RecordBatch, first: int, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+    return pa.record_batch([*b.columns[first:], *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [*b.schema.names[first:], "parts", "leaf_tokens", "n_tokens", "n_chars_encoded"])
+
+
+def keep_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """(id_col, parts, leaf_tokens, n_tokens, n_chars_encoded): each document's tree as its leaves and their counts.
+
+    A table of these is what edit_trees() continues from. Null texts are empty trees; ids may be null or repeat; an
+    empty table gives an empty result; other columns, whatever their names, are ignored.
+    """
+    file = rank_file(path)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        enc = encoder(file)
+        for b in batches:
+            yield _tree_batch(b, 1, [_tree_row(TokenTree(t.decode("utf-8", "replace") if t else "", lambda part: len(enc.encode_ordinary(part)), leaf_chars)) for t in text_bytes(b.column(0))])
+
+    x = docs.select(F.col(text_col).cast("string").alias("_mr_text"), F.col(id_col).alias("_mr_id"))
+    return map_arrow(x, run, f"_mr_id {docs.schema[id_col].dataType.simpleString()}, {TREE}").withColumnRenamed("_mr_id", id_col)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, id_col: str = "doc_id", edits_col: str = "edits", path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """trees after the edits of their ids: kept counts are read, only touched leaves and their context are encoded.
+
+    Documents without edits stay as they are, with n_chars_encoded 0; edits of unknown ids do nothing. Ids are unique
+    in trees; several rows of edits of an id are not merged, give them as one array. Edits as in count_edited().
+    """
+    file, kind = rank_file(path), "array<struct<begin:bigint,length:bigint,insert:string>>"
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        enc = encoder(file)
+        for b in batches:
+            rows = []
+            for parts, tokens, own in zip(*(c.to_pylist() for c in b.columns[:3])):
+                tree = TokenTree.restore(parts, tokens, lambda part: len(enc.encode_ordinary(part)), leaf_chars)
+                for e in own or ():
+                    if e is not None and e["begin"] is not None:
+                        tree.edit(e["begin"], e["length"] or 0, e["insert"] or "")
+                rows.append(_tree_row(tree))
+            yield _tree_batch(b, 3, rows)
+
+    own = edits.select(F.col(id_col).alias("_mr_e"), F.col(edits_col).cast(kind).alias("_mr_edits"))
+    x = trees.join(own, F.col(id_col) == F.col("_mr_e"), "left").select("parts", "leaf_tokens", "_mr_edits", F.col(id_col).alias("_mr_id"))
+    return map_arrow(x, run, f"_mr_id {trees.schema[id_col].dataType.simpleString()}, {TREE}").withColumnRenamed("_mr_id", id_col)
+
+
 def sample_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' ids and texts with three edits each, derived from the text's own checksum: a deletion, a replacement, an insertion."""
     crc, n = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), F.coalesce(F.length(F.col(text_col)), F.lit(0)).cast("bigint")

@@ -162,7 +162,7 @@ def _feature_rows(counts: np.ndarray):
         restorer, one, zero = Restorer(counts), Counter(), Counter()
         for b in batches:
             for t, y in zip(text_bytes(b.column(0)), b.column(1).to_pylist()):
-                (one if y else zero).update(restorer.features(t.decode() if t else ""))
+                (one if y else zero).update(restorer.features(t.decode("utf-8", "replace") if t else ""))
         names = sorted(one.keys() | zero.keys())
         yield pa.record_batch([pa.array(names, pa.string()), pa.array([one[n] for n in names], pa.int64()), pa.array([zero[n] for n in names], pa.int64())], ["feature", "toxic", "clean"])
 
@@ -200,7 +200,7 @@ def _score(model: dict):
     def run(batches: Iterator[pa.RecordBatch]):
         restorer = Restorer(model["counts"])
         for b in batches:
-            scores = [score_text(t.decode() if t else "", restorer, model["p"], model["prior"]) for t in text_bytes(b.column(0))]
+            scores = [score_text(t.decode("utf-8", "replace") if t else "", restorer, model["p"], model["prior"]) for t in text_bytes(b.column(0))]
             yield pa.record_batch([*b.columns[1:], pa.array(scores, pa.float64())], [*b.schema.names[1:], "_mr_score"])
 
     return run

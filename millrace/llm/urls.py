@@ -158,7 +158,8 @@ def token_odds(tokens: DataFrame, verdicts: DataFrame, seed_weight: float = 50.0
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
     """Return (id_col, host, path, rule, verdict, tokens, log_odds), one row per input row.
 
-    The longest rule that fits decides; elsewhere the naive Bayes log odds do (block above 0). Null urls and urls
+    The longest rule that fits decides; elsewhere the naive Bayes log odds do (block above 0);
+    they begin with the log odds of the classes among rule-decided pages. Null urls and urls
     without :// have an empty host and path, no tokens and the verdict allow. Ids may be null or repeat; html may be
     null. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
@@ -168,7 +169,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     x = materialize(x.select(F.monotonically_increasing_id().alias("row"), "*").select("*", rule.alias("rule"), verdict.alias("ruled")), "urls")
     words, unknown = word_model(pages, html_col)
     tokens = materialize(token_rows(x, words, unknown), "tokens")
-    odds, unseen = token_odds(tokens, x.where("ruled is not null").select("row", F.col("ruled").alias("verdict")))
-    scored = tokens.join(odds, "token", "left").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "k", "token"))), lambda t: t["token"]).alias("tokens"), F.sum(F.coalesce("odds", F.lit(unseen))).alias("log_odds"))
+    ruled = x.where("ruled is not null").select("row", F.col("ruled").alias("verdict"))
+    odds, unseen = token_odds(tokens, ruled)
+    block, allow = ruled.agg(F.count(F.when(F.col("verdict") == "block", 1)), F.count(F.when(F.col("verdict") == "allow", 1))).first()
+    prior = math.log((block + 1) / (allow + 1))
+    scored = tokens.join(odds, "token", "left").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "k", "token"))), lambda t: t["token"]).alias("tokens"), (F.sum(F.coalesce("odds", F.lit(unseen))) + F.lit(prior)).alias("log_odds"))
     out = x.join(scored, "row", "left").withColumn("log_odds", F.coalesce("log_odds", F.lit(0.0)))
     return out.select(F.col("_mr_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "log_odds")

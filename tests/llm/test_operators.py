@@ -259,7 +259,7 @@ def test_short_texts_adapt():
     voc = mixing_lm.Vocabulary(pairs, int(counts.sum()), int((counts == 1).sum()))
     table = np.zeros(mixing_lm.ALL_CELLS, np.int32)
     for b in mixing_lm._table_rows(types.SimpleNamespace(value=voc))(iter([pa.record_batch([pa.array(texts, pa.binary())], ["t"])])):
-        part = np.frombuffer(pa.decompress(b.column(1)[0].as_buffer(), mixing_lm.BLOCK_CELLS * 4, "zstd"), np.int32)
+        part = np.frombuffer(pa.decompress(b.column(2)[0].as_buffer(), mixing_lm.BLOCK_CELLS * 4, "zstd"), np.int32)
         at = b.column(0)[0].as_py() * mixing_lm.BLOCK_CELLS
         table[at : at + len(part)] = part[: mixing_lm.ALL_CELLS - at]
     fixed, learned = mixing_lm.Mixer(table, voc), mixing_lm.Mixer(table, voc, texts[:100])
@@ -275,6 +275,51 @@ def test_short_texts_adapt():
     assert np.allclose(bits(learned, new), [bits(learned, [t])[0] for t in new], rtol=1e-5)
 
 
+def test_forest_beyond_its_sample(spark):
+    """Links of 6,000 vectors, planted pairs of cosine 0.9 to 0.93 among them, by a forest fitted on 200."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(0, 1200, 2):
+        d = rng.normal(size=24)
+        d -= d @ x[k] * x[k]
+        c = rng.uniform(0.9, 0.93)
+        x[k + 1] = c * x[k] + np.sqrt(1 - c * c) * d / np.linalg.norm(d)
+    rows = spark.createDataFrame([(i, [float(q) for q in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = forest.near_duplicate_vectors(rows, sample=200, leaf=64).toPandas().set_index("vec_id").n_links
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert (got.loc[range(6000)].values <= want).all() and got.sum() >= 0.9 * want.sum() > 0
+    big, small = (forest.Forest(x[:200], 3, d, 0.02) for d in (14, 6))
+    size = lambda f: f.directions.nbytes + f.cuts.nbytes + f.middles.nbytes + f.below.nbytes
+    assert size(big) < 2 * size(small) + 20_000
+
+
+def test_kept_trees(spark):
+    """Two rounds of edits on a stored table of trees against encoding the edited texts anew."""
+    rng = random.Random(4)
+    texts = {k: " ".join(some_words(rng, rng.choice([0, 3, 200]))) for k in range(30)}
+    x = spark.createDataFrame(list(texts.items()) + [(30, None)], "doc_id long, text string")
+    trees, enc = tokens.keep_trees(x).persist(), tokens.encoder(tokens.rank_file())
+    texts[30] = ""
+    for _ in range(2):
+        edits = [(k, [(rng.randrange(len(t) + 1), rng.randrange(9), rng.choice(["", "new words", " \n"])) for _ in range(2)]) for k, t in texts.items() if k % 3]
+        for k, own in edits:
+            for at, n, new in own:
+                texts[k] = texts[k][:at] + new + texts[k][at + n :]
+        trees = tokens.edit_trees(trees, spark.createDataFrame(edits, "doc_id long, edits array<struct<begin:bigint,length:bigint,insert:string>>")).persist()
+        got = {r["doc_id"]: r for r in trees.collect()}
+        assert all(got[k]["n_tokens"] == len(enc.encode_ordinary(t)) and "".join(got[k]["parts"]) == t for k, t in texts.items())
+        assert all(got[k]["n_chars_encoded"] == 0 for k in texts if not k % 3) and sum(r["n_chars_encoded"] for r in got.values()) < 0.8 * sum(map(len, texts.values()))
+
+
+def test_bad_bytes(spark):
+    """Texts that are no UTF-8 are read with marks in place of the bad bytes."""
+    x = spark.sql("SELECT id AS doc_id, cast(unhex(concat('61FF62', hex(concat(' w', id)))) AS string) AS text FROM range(20)")
+    assert packing.pack(x).count() >= 20 and tokens.count_edited(tokens.sample_edits(x)).count() == 20
+    y = spark.sql("SELECT id AS doc_id, cast(id % 2 AS int) AS toxic FROM range(20)")
+    assert toxicity.score_documents(x, toxicity.fit(x, y)).count() == 20
+
+
 def test_urls(spark):
     rows = [(1, "http://a.com/en/1", None), (2, "https://B.Example.com/en/7x?q", "<p>cheap pills</p>"), (3, "ftp://x.net/de/8", ""), (4, "http://example.net/de/8", None), (5, "x.org/es/", None), (6, None, None), (None, "http://spamfarmcheappills.info/free", None), (8, "http://h?x://y/en/", None), (9, "http://notcom/en/", None)]
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
