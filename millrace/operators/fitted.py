@@ -486,9 +486,28 @@ def ivf_lists(spark, sf_dir):
 
 catalog.QUERIES["dbscan_core_points"] = catalog.QUERIES.pop("dbscan_core_flags")
 catalog.ORACLE_SQL["dbscan_core_points"] = catalog.ORACLE_SQL.pop("dbscan_core_flags")
-catalog.QUERIES["searchsorted"] = catalog.QUERIES.pop("searchsorted_all")
+del catalog.QUERIES["searchsorted_all"]
 catalog.ORACLE_SQL["searchsorted"] = catalog.ORACLE_SQL.pop("searchsorted_all")
 
+
+@over("searchsorted")
+def searchsorted(spark, sf_dir):
+    """Positions of all suppliers' balances among all customers': running counts by range partitions of both."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    both = c.select(F.col("c_acctbal").alias("v"), F.lit(1.0).alias("n")).unionByName(s.select(F.col("s_acctbal").alias("v"), F.lit(0.0).alias("n"))).where("v is not null")
+    run = metrics.cumulative(both.groupBy("v").agg(F.sum("n").alias("n")), "v", ["n"])
+    total = c.where("c_acctbal is not null").count()
+    return s.select("s_suppkey", "s_acctbal").join(run, F.col("s_acctbal") == F.col("v"), "left").select("s_suppkey", F.coalesce((F.lit(total) - F.col("cum_n")).cast("long"), F.lit(0)).alias("pos"))
+
+
+@over("argsort")
+def argsort(spark, sf_dir):
+    from millrace.learn.forecast import numbered
+
+    x = numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"], "pos")
+    return x.select("c_custkey", (F.col("pos") + 1).alias("pos"))
+
+
 # --- words: letters of any script, lower case -----------------------------------------------------------------------------
 
 _WORDS = (r"explode(regexp_extract_all(lower(text), '\\p{L}+', 0))", r"unnest(regexp_extract_all(lower(text), '\p{L}+', 0))")

@@ -1,10 +1,10 @@
-"""Every query of the catalog against its SQL, run by DuckDB over the same tables."""
+"""Every query of the catalog that has SQL against it, run by DuckDB over the same tables; the others give stable columns."""
 
 import duckdb
 import pytest
 
 from millrace import catalog
-from millrace.operators import evaluation, linear, metrics, preprocessing, series, tensors, vectors  # noqa: F401
+from millrace.operators import evaluation, fitted, linear, metrics, models, preprocessing, series, tensors, vectors  # noqa: F401
 from millrace.plans.sqltext import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +18,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) & set(catalog.ORACLE_SQL)))
 def test_query_equals_sql(spark, con, name):
     ours = catalog.QUERIES[name](spark, SF).toPandas()
     theirs = con.execute(catalog.ORACLE_SQL[name]).fetchdf()

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from millrace.operators import series, vectors  # noqa: F401
+from millrace.operators import fitted, series, vectors  # noqa: F401
 from millrace.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_searchsorted_all(spark):
     values = np.sort([float(r[0]) for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_acctbal").collect()])
     keys = spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey", "s_acctbal").collect()
-    assert {r["s_suppkey"]: r["pos"] for r in QUERIES["searchsorted_all"](spark, SF).collect()} == {k: int(np.searchsorted(values, float(v))) for k, v in keys}
+    assert {r["s_suppkey"]: r["pos"] for r in QUERIES["searchsorted"](spark, SF).collect()} == {k: int(np.searchsorted(values, float(v))) for k, v in keys}
 
 
 def test_dbscan_core_flags(spark):
