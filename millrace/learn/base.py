@@ -182,7 +182,7 @@ def total(rows: DataFrame, fn: Callable[..., dict[str, np.ndarray]], finite: boo
 
     schema = "name string, shape array<int>, v array<double>"
     out = rows.mapInArrow(part, schema)
-    if int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SMALL:
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
         out = out.repartition(F.spark_partition_id() % FAN_IN).mapInArrow(add, schema)
     return _added(out.toArrow().to_batches())
 
