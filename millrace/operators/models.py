@@ -144,15 +144,15 @@ _PREDICT = {
     "lasso_lars": lambda: linear.LassoLars(alpha=0.01),
     "bayesian_ridge": lambda: linear.BayesianRidge(),
     "ard_regression": lambda: linear.ARDRegression(),
-    "huber_regressor": lambda: linear.HuberRegressor(max_iter=30),
-    "quantile_regressor": lambda: linear.QuantileRegressor(quantile=0.8, alpha=0.0, max_iter=30),
+    "huber_regressor": lambda: linear.HuberRegressor(max_iter=10),
+    "quantile_regressor": lambda: linear.QuantileRegressor(quantile=0.8, alpha=0.0, max_iter=12),
     "decision_tree_regressor": lambda: trees.DecisionTreeRegressor(max_depth=4),
-    "random_forest_regressor": lambda: trees.RandomForestRegressor(n_estimators=10, max_depth=5, oob_score=True),
-    "extra_trees_regressor": lambda: trees.ExtraTreesRegressor(n_estimators=10, max_depth=5),
-    "gradient_boosting_regressor": lambda: trees.GradientBoostingRegressor(n_estimators=10),
-    "ordered_rmse": lambda: trees.OrderedRMSE(n_estimators=5, max_depth=4),
-    "adaboost_regressor": lambda: trees.AdaBoostRegressor(n_estimators=5),
-    "dart_regressor": lambda: trees.DARTRegressor(n_estimators=8),
+    "random_forest_regressor": lambda: trees.RandomForestRegressor(n_estimators=6, max_depth=4, oob_score=True),
+    "extra_trees_regressor": lambda: trees.ExtraTreesRegressor(n_estimators=6, max_depth=4),
+    "gradient_boosting_regressor": lambda: trees.GradientBoostingRegressor(n_estimators=4),
+    "ordered_rmse": lambda: trees.OrderedRMSE(n_estimators=3, max_depth=3),
+    "adaboost_regressor": lambda: trees.AdaBoostRegressor(n_estimators=3, max_depth=2),
+    "dart_regressor": lambda: trees.DARTRegressor(n_estimators=4),
 }
 for _name, _make in _PREDICT.items():
 
@@ -164,17 +164,17 @@ for _name, _make in _PREDICT.items():
 
 
 _CLASSIFY = {
-    "logistic_multiclass": lambda: linear.LogisticRegression(max_iter=15, tol=1e-4),
+    "logistic_multiclass": lambda: linear.LogisticRegression(max_iter=6, tol=1e-4),
     "linear_discriminant_analysis": lambda: linear.LinearDiscriminantAnalysis(),
     "quadratic_discriminant_analysis": lambda: linear.QuadraticDiscriminantAnalysis(),
     "multinomial_nb_predict": lambda: linear.MultinomialNB(),
     "decision_tree_classifier": lambda: trees.DecisionTreeClassifier(max_depth=4),
-    "random_forest_classifier": lambda: trees.RandomForestClassifier(n_estimators=10, max_depth=5, class_weight="balanced"),
-    "extra_trees_classifier": lambda: trees.ExtraTreesClassifier(n_estimators=10, max_depth=5),
-    "adaboost_classifier": lambda: trees.AdaBoostClassifier(n_estimators=5),
-    "gradient_boosting_multiclass": lambda: trees.GradientBoosting(loss="multiclass", n_estimators=4, max_depth=3),
-    "mlp_classifier": lambda: neural.MLPClassifier(hidden_layer_sizes=(8,), max_iter=3),
-    "one_vs_rest_classifier": lambda: selection.OneVsRestClassifier(estimator=linear.LinearSVC(C=0.01, max_iter=8)),
+    "random_forest_classifier": lambda: trees.RandomForestClassifier(n_estimators=6, max_depth=4, class_weight="balanced"),
+    "extra_trees_classifier": lambda: trees.ExtraTreesClassifier(n_estimators=6, max_depth=4),
+    "adaboost_classifier": lambda: trees.AdaBoostClassifier(n_estimators=3),
+    "gradient_boosting_multiclass": lambda: trees.GradientBoosting(loss="multiclass", n_estimators=2, max_depth=2),
+    "mlp_classifier": lambda: neural.MLPClassifier(hidden_layer_sizes=(8,), max_iter=2, batches=2),
+    "one_vs_rest_classifier": lambda: selection.OneVsRestClassifier(estimator=linear.LinearSVC(C=0.01, max_iter=4)),
     "voting_classifier": lambda: selection.VotingClassifier(estimators=(linear.GaussianNB(), linear.LinearDiscriminantAnalysis(), linear.NearestCentroid())),
 }
 for _name, _make in _CLASSIFY.items():
@@ -190,7 +190,7 @@ _KEYED = {
     "ridge_cv": (lambda: linear.RidgeCV(), "p"),
     "lasso_cv": (lambda: linear.LassoCV(n_alphas=10), "p"),
     "elastic_net_cv": (lambda: linear.ElasticNetCV(n_alphas=10, l1_ratio=(0.2, 0.8)), "p"),
-    "logistic_regression_cv": (lambda: linear.LogisticRegressionCV(Cs=(0.01, 1.0), cv=2, max_iter=8), "y"),
+    "logistic_regression_cv": (lambda: linear.LogisticRegressionCV(Cs=(0.01, 1.0), cv=2, max_iter=4), "y"),
     "sgd_classifier": (lambda: linear.SGDClassifier(max_iter=2, parts=4), "y"),
     "sgd_regressor": (lambda: linear.SGDRegressor(max_iter=2, eta0=1e-4, parts=4), "p"),
     "perceptron": (lambda: linear.Perceptron(max_iter=2, parts=4), "y"),
@@ -200,7 +200,7 @@ _KEYED = {
     "bagging_regressor": (lambda: selection.BaggingRegressor(estimator=linear.Ridge(), n_estimators=3), "p"),
     "stacking_classifier": (lambda: selection.StackingClassifier(estimators=(linear.GaussianNB(), linear.LinearDiscriminantAnalysis()), final_estimator=linear.LogisticRegression(), cv=2), "y"),
     "stacking_regressor": (lambda: selection.StackingRegressor(estimators=(linear.Ridge(), linear.Lasso(alpha=0.1)), final_estimator=linear.LinearRegression(), cv=2), "p"),
-    "calibrated_classifier_cv": (lambda: selection.CalibratedClassifierCV(estimator=linear.LinearSVC(C=0.01, max_iter=10), cv=2), "y"),
+    "calibrated_classifier_cv": (lambda: selection.CalibratedClassifierCV(estimator=linear.LinearSVC(C=0.01, max_iter=4), cv=2), "y"),
     "voting_regressor": (lambda: selection.VotingRegressor(estimators=(linear.Ridge(), linear.LinearRegression())), "p"),
 }
 for _name, (_make, _label) in _KEYED.items():
@@ -223,20 +223,20 @@ def sgd_one_class_svm(spark, sf_dir):
 @model("gradient_boosting_classifier")
 def gradient_boosting_classifier(spark, sf_dir):
     x = lines(spark, sf_dir)
-    return trees.GradientBoostingClassifier(n_estimators=10).fit(x, XQ, "y").predict(x).select("id", "prediction")
+    return trees.GradientBoostingClassifier(n_estimators=3).fit(x, XQ, "y").predict(x).select("id", "prediction")
 
 
 @model("dart_classifier")
 def dart_classifier(spark, sf_dir):
     x = lines(spark, sf_dir)
-    return trees.DARTClassifier(n_estimators=6).fit(x, XQ, "y").predict(x).select("id", "prediction")
+    return trees.DARTClassifier(n_estimators=3).fit(x, XQ, "y").predict(x).select("id", "prediction")
 
 
 @model("gradient_boosting")
 def gradient_boosting(spark, sf_dir):
     """Symmetric trees with early stopping on the lines of every fifth order."""
     x = lines(spark, sf_dir).withColumn("held", F.floor(F.col("id") / 10) % 5 == 0)
-    m = trees.GradientBoosting(n_estimators=12, max_depth=4, od_wait=4).fit(x.where("not held"), XQ, "p", eval=x.where("held"))
+    m = trees.GradientBoosting(n_estimators=4, max_depth=3, od_wait=2).fit(x.where("not held"), XQ, "p", eval=x.where("held"))
     return m.predict(x).select("id", F.round("prediction", 5).alias("prediction"))
 
 
@@ -244,7 +244,7 @@ def gradient_boosting(spark, sf_dir):
 def gradient_boosting_ranking(spark, sf_dir):
     """Ranks the lines within each order by quantity and discount."""
     x = lines(spark, sf_dir).withColumn("g", F.floor(F.col("id") / 10))
-    m = trees.GradientBoosting(loss="query_rmse", n_estimators=4, max_depth=3).fit(x, ["q", "d"], "p", group="g")
+    m = trees.GradientBoosting(loss="query_rmse", n_estimators=2, max_depth=2).fit(x, ["q", "d"], "p", group="g")
     return m.predict(x).select("id", F.round("prediction", 5).alias("prediction"))
 
 
@@ -263,7 +263,7 @@ def multi_output_classifier(spark, sf_dir):
 @model("mlp_regressor")
 def mlp_regressor(spark, sf_dir):
     x = lines(spark, sf_dir)
-    return neural.MLPRegressor(hidden_layer_sizes=(8,), max_iter=3).fit(x, XQ, "p").predict(x).select("id", F.round("prediction", 5).alias("prediction"))
+    return neural.MLPRegressor(hidden_layer_sizes=(8,), max_iter=2, batches=2).fit(x, XQ, "p").predict(x).select("id", F.round("prediction", 5).alias("prediction"))
 
 
 @model("random_trees_embedding")
@@ -298,7 +298,7 @@ def forest_inference(spark, sf_dir):
 @model("tree_explainer")
 def tree_explainer(spark, sf_dir):
     x = customers(spark, sf_dir)
-    m = trees.GradientBoostingRegressor(n_estimators=4, max_depth=3).fit(x, ["a", "b", "g"], "y")
+    m = trees.GradientBoostingRegressor(n_estimators=2, max_depth=3).fit(x, ["a", "b", "g"], "y")
     return wide(x.withColumn("s", trees.TreeExplainer(m).values_column(["a", "b", "g"])), "id", column="s")
 
 
@@ -492,9 +492,9 @@ def _pagerank_sql(steps: int) -> str:
     return out + f" SELECT id, round(r, 6) AS rank FROM r{steps}"
 
 
-@model("pagerank", _pagerank_sql(12))
+@model("pagerank", _pagerank_sql(5))
 def pagerank(spark, sf_dir):
-    return rounded(graph.pagerank(nations(spark, sf_dir), max_iter=12, tol=0.0), 6, "rank")
+    return rounded(graph.pagerank(nations(spark, sf_dir), max_iter=5, tol=0.0), 6, "rank")
 
 
 _NEAR = f"SELECT a.vec_id AS a, b.vec_id AS b FROM {_DUCK} a JOIN {_DUCK} b ON a.vec_id <> b.vec_id AND {_SQ} <= 1.0"
@@ -511,7 +511,7 @@ def connected_components(spark, sf_dir):
 @model("louvain")
 def louvain(spark, sf_dir):
     e = nations(spark, sf_dir).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")
-    return graph.Louvain(max_levels=2, max_rounds=4).fit_predict(e)
+    return graph.Louvain(max_levels=1, max_rounds=4).fit_predict(e)
 
 
 def semi(spark, sf_dir) -> DataFrame:
@@ -551,23 +551,23 @@ def _kmeans_sql(steps: int) -> str:
     return out + f" SELECT id, k::INTEGER AS prediction FROM {near.format(steps)} WHERE r = 1"
 
 
-@model("kmeans", _kmeans_sql(6))
+@model("kmeans", _kmeans_sql(4))
 def kmeans(spark, sf_dir):
     """Lloyd's steps from the customers of the four lowest keys, then a fresh assignment."""
     x = customers(spark, sf_dir)
     init = [[r["a"], r["b"]] for r in x.orderBy("id").limit(4).collect()]
-    return cluster.KMeans(n_clusters=4, init=init, max_iter=6, tol=0.0).fit(x, ["a", "b"]).predict(x).select("id", "prediction")
+    return cluster.KMeans(n_clusters=4, init=init, max_iter=4, tol=0.0).fit(x, ["a", "b"]).predict(x).select("id", "prediction")
 
 
 for _name, _make in {
-    "kmeans_parallel": lambda: cluster.KMeans(n_clusters=5, max_iter=15),
-    "minibatch_kmeans": lambda: cluster.MiniBatchKMeans(n_clusters=5, batches=3, max_iter=2),
-    "bisecting_kmeans": lambda: cluster.BisectingKMeans(n_clusters=4),
-    "gaussian_mixture": lambda: cluster.GaussianMixture(n_components=3, max_iter=10),
-    "bayesian_gaussian_mixture": lambda: cluster.BayesianGaussianMixture(n_components=4, max_iter=10),
-    "mean_shift": lambda: cluster.MeanShift(bandwidth=2.0, bin_seeding=True, max_iter=20),
+    "kmeans_parallel": lambda: cluster.KMeans(n_clusters=5, max_iter=6, rounds=2),
+    "minibatch_kmeans": lambda: cluster.MiniBatchKMeans(n_clusters=5, batches=3, max_iter=1),
+    "bisecting_kmeans": lambda: cluster.BisectingKMeans(n_clusters=3, max_iter=6),
+    "gaussian_mixture": lambda: cluster.GaussianMixture(n_components=3, max_iter=4),
+    "bayesian_gaussian_mixture": lambda: cluster.BayesianGaussianMixture(n_components=4, max_iter=4),
+    "mean_shift": lambda: cluster.MeanShift(bandwidth=2.0, bin_seeding=True, max_iter=6),
     "isolation_forest": lambda: cluster.IsolationForest(n_estimators=20, max_samples=64, contamination=0.05),
-    "elliptic_envelope": lambda: decompose.EllipticEnvelope(starts=2, max_iter=5),
+    "elliptic_envelope": lambda: decompose.EllipticEnvelope(starts=1, max_iter=3),
     "one_class_svm": lambda: kernel.OneClassSVM(nu=0.1),
 }.items():
 
@@ -605,10 +605,10 @@ for _name, _make in {
     "incremental_pca": lambda: decompose.IncrementalPCA(n_components=3),
     "truncated_svd": lambda: decompose.TruncatedSVD(n_components=3),
     "kernel_pca": lambda: kernel.KernelPCA(n_components=2, kernel="rbf"),
-    "fast_ica": lambda: decompose.FastICA(n_components=3, max_iter=20),
+    "fast_ica": lambda: decompose.FastICA(n_components=3, max_iter=8),
     "factor_analysis": lambda: decompose.FactorAnalysis(n_components=2, rotation="varimax"),
-    "dictionary_learning": lambda: decompose.DictionaryLearning(n_components=4, alpha=0.2, max_iter=5),
-    "minibatch_dictionary_learning": lambda: decompose.MiniBatchDictionaryLearning(n_components=4, alpha=0.2, max_iter=6, batches=3),
+    "dictionary_learning": lambda: decompose.DictionaryLearning(n_components=4, alpha=0.2, max_iter=3),
+    "minibatch_dictionary_learning": lambda: decompose.MiniBatchDictionaryLearning(n_components=4, alpha=0.2, max_iter=3, batches=3),
     "sparse_pca": lambda: decompose.SparsePCA(n_components=2, max_iter=20),
     "minibatch_sparse_pca": lambda: decompose.MiniBatchSparsePCA(n_components=2, max_iter=20),
     "gaussian_random_projection": lambda: decompose.GaussianRandomProjection(n_components=8),
@@ -629,7 +629,7 @@ def positive(spark, sf_dir):
 
 
 for _name, _make in {
-    "nmf": lambda: decompose.NMF(n_components=3, max_iter=8),
+    "nmf": lambda: decompose.NMF(n_components=3, max_iter=5),
     "latent_dirichlet_allocation": lambda: decompose.LatentDirichletAllocation(n_components=3, max_iter=3),
     "skewed_chi2_sampler": lambda: kernel.SkewedChi2Sampler(n_components=16),
     "additive_chi2_sampler": lambda: kernel.AdditiveChi2Sampler(),
@@ -681,7 +681,7 @@ def pls_canonical(spark, sf_dir):
 
 @model("min_cov_det")
 def min_cov_det(spark, sf_dir):
-    m = decompose.MinCovDet(starts=2, max_iter=5).fit(customers(spark, sf_dir), ["a", "b"])
+    m = decompose.MinCovDet(starts=1, max_iter=4).fit(customers(spark, sf_dir), ["a", "b"])
     return frame(spark, [(i, j, round(float(m.covariance_[i, j]), 5)) for i in range(2) for j in range(2)], "i int, j int, v double")
 
 
@@ -970,7 +970,7 @@ def validation_curve(spark, sf_dir):
 
 @model("permutation_test_score")
 def permutation_test_score(spark, sf_dir):
-    s, _, p = selection.permutation_test_score(linear.Ridge(), customers(spark, sf_dir), ["a", "b"], "y", "id", cv=2, n_permutations=3)
+    s, _, p = selection.permutation_test_score(linear.Ridge(), customers(spark, sf_dir), ["a", "b"], "y", "id", cv=2, n_permutations=2)
     return row(spark, score=s, p=p)
 
 
@@ -1010,18 +1010,18 @@ def resample(spark, sf_dir):
 # --- series -------------------------------------------------------------------------------------------------------------------------------------
 
 for _name, _make in {
-    "arima": lambda: forecast.ARIMA(order=(1, 0, 1), rounds=8),
-    "auto_arima": lambda: forecast.AutoARIMA(max_p=1, max_q=0, rounds=6),
-    "exponential_smoothing": lambda: forecast.ExponentialSmoothing(seasonal_periods=7, rounds=8),
-    "ets": lambda: forecast.ETS(model="AAN", rounds=8),
-    "damped_ets": lambda: forecast.DampedETS(rounds=8),
+    "arima": lambda: forecast.ARIMA(order=(1, 0, 1), rounds=4),
+    "auto_arima": lambda: forecast.AutoARIMA(max_p=1, max_q=0, rounds=3),
+    "exponential_smoothing": lambda: forecast.ExponentialSmoothing(seasonal_periods=7, rounds=4),
+    "ets": lambda: forecast.ETS(model="AAN", rounds=4),
+    "damped_ets": lambda: forecast.DampedETS(rounds=4),
     "theta": lambda: forecast.Theta(season_length=7),
     "auto_theta": lambda: forecast.AutoTheta(),
     "optimized_theta": lambda: forecast.OptimizedTheta(),
     "dynamic_theta": lambda: forecast.DynamicTheta(),
     "dynamic_optimized_theta": lambda: forecast.DynamicOptimizedTheta(),
     "croston_optimized": lambda: forecast.CrostonOptimized(),
-    "garch": lambda: forecast.GARCH(rounds=15),
+    "garch": lambda: forecast.GARCH(rounds=5),
 }.items():
 
     @model(_name)
