@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.learn.base import Classifier, Estimator, Regressor, classes_of, coded, keyed, keyed_uniform, named_class, vector
+from millrace.learn.base import Classifier, Estimator, Regressor, classes_of, coded, keyed, keyed_uniform, named_class
 from millrace.learn.forecast import numbered
 
 # --- splits ----------------------------------------------------------------------------------------------------------
@@ -330,10 +330,6 @@ def train_test_split(df: DataFrame, key: str, test_size=0.25, train_size=None, s
 # --- scorers ---------------------------------------------------------------------------------------------------------
 
 
-def _mean(e: Column) -> Callable[[DataFrame], float]:
-    return lambda d: d.agg(F.avg(e)).first()[0]
-
-
 def _f1(d: DataFrame) -> float:
     t = d.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y") == F.col("p")).cast("long")).alias("tp")).collect()
     q = {r["p"]: r["n"] for r in d.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -348,7 +344,7 @@ def _r2(d: DataFrame) -> float:
 
 
 SCORERS: dict[str, Callable[[DataFrame], float]] = {
-    "accuracy": _mean((F.col("y") == F.col("p")).cast("double")) if False else lambda d: d.agg(F.avg((F.col("y") == F.col("p")).cast("double"))).first()[0],
+    "accuracy": lambda d: d.agg(F.avg((F.col("y") == F.col("p")).cast("double"))).first()[0],
     "f1_macro": _f1,
     "balanced_accuracy": lambda d: d.groupBy("y").agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("r")).agg(F.avg("r")).first()[0],
     "r2": _r2,
@@ -868,5 +864,3 @@ def _interpolation(xs, ys):
 
     return run
 
-
-_ = vector

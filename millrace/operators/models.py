@@ -741,7 +741,7 @@ def linalg_lu(spark, sf_dir):
     return frame(spark, [(i, j, round(float((p.T @ low @ up)[i, j]), 4)) for i in range(4) for j in range(4)], "i int, j int, v double")
 
 
-catalog.ORACLE_SQL["linalg_lu"] = f"SELECT i::INTEGER AS i, j::INTEGER AS j, round(sum(e[i + 1] * e[j + 1]), 4) AS v FROM {_DUCK}, (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j) GROUP BY i, j"
+catalog.ORACLE_SQL["linalg_lu"] = twin(f"SELECT i::INTEGER AS i, j::INTEGER AS j, round(sum(e[i + 1] * e[j + 1]), 4) AS v FROM {_DUCK}, (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j) GROUP BY i, j")
 
 
 @model("linalg_randomized_svd")
@@ -1032,12 +1032,12 @@ for _name, _make in {
 
 _EVS = "(SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
 _FOLD = "list_reduce({0}, lambda l, x: l + 0.1e0 * (x - l))"
-_SPARSE = f"(SELECT user_id, list(v ORDER BY k) FILTER (v <> 0) AS sizes, list(k ORDER BY k) FILTER (v <> 0) AS at FROM (SELECT user_id, k, CASE WHEN value > 50 THEN value ELSE 0 END AS v FROM {_EVS}) GROUP BY user_id)"
+_SPARSE = f"(SELECT user_id, list(v ORDER BY k) FILTER (v <> 0) AS sizes, list(k ORDER BY k) FILTER (v <> 0) AS places FROM (SELECT user_id, k, CASE WHEN value > 50 THEN value ELSE 0 END AS v FROM {_EVS}) GROUP BY user_id)"
 
 
 def _croston(factor: float) -> str:
-    gaps = "list_transform(list_zip(at, list_concat([0], at)), lambda z: (z[1] - z[2]) * 1e0)"
-    return f"SELECT user_id, round(CASE WHEN sizes IS NULL OR len(sizes) = 0 THEN 0 ELSE {factor} * {_FOLD.format('sizes')} / {_FOLD.format(f'{gaps}[1:len(at)]')} END, 5) AS rate FROM {_SPARSE}"
+    gaps = "list_transform(list_zip(places, list_concat([0], places)), lambda z: (z[1] - z[2]) * 1e0)"
+    return f"SELECT user_id, round(CASE WHEN sizes IS NULL OR len(sizes) = 0 THEN 0 ELSE {factor} * {_FOLD.format('sizes')} / {_FOLD.format(f'{gaps}[1:len(places)]')} END, 5) AS rate FROM {_SPARSE}"
 
 
 for _name, _cls, _factor in (("croston_classic", forecast.CrostonClassic, 1.0), ("croston_sba", forecast.CrostonSBA, 0.95)):
@@ -1045,7 +1045,7 @@ for _name, _cls, _factor in (("croston_classic", forecast.CrostonClassic, 1.0),
     @model(_name, _croston(_factor))
     def croston(spark, sf_dir, cls=_cls):
         x = events(spark, sf_dir).withColumn("value", F.when(F.col("value") > 50, F.col("value")).otherwise(0.0))
-        return cls().forecast(x, "user_id", "t", "value", 1).select("user_id" if False else F.col("series").alias("user_id"), F.round("forecast", 5).alias("rate"))
+        return cls().forecast(x, "user_id", "t", "value", 1).select(F.col("series").alias("user_id"), F.round("forecast", 5).alias("rate"))
 
 
 @model("kpss_test", f"WITH e AS (SELECT user_id, k, value - avg(value) OVER (PARTITION BY user_id) AS e, count(*) OVER (PARTITION BY user_id) AS n FROM {_EVS}), c AS (SELECT user_id, sum(s * s) AS s, any_value(n) AS n FROM (SELECT user_id, n, sum(e) OVER (PARTITION BY user_id ORDER BY k) AS s FROM e) GROUP BY user_id), l AS (SELECT a.user_id, any_value(a.n) AS n, sum(CASE WHEN b.k = a.k THEN a.e * b.e ELSE 2 * a.e * b.e * (1 - (b.k - a.k) / (2 + 1e0)) END) AS v FROM e a JOIN e b ON a.user_id = b.user_id AND b.k - a.k BETWEEN 0 AND 2 GROUP BY a.user_id) SELECT user_id, round(c.s / (c.n * 1e0 * c.n) / (l.v / l.n), 5) AS statistic FROM c JOIN l USING (user_id) WHERE c.n >= 3 AND l.v > 0")

@@ -282,7 +282,8 @@ def onnx_program(data: bytes) -> Program:
         name = m[1][0].decode()
         if name in consts:
             continue
-        dims = [message(d).get(1, [None])[0] for d in message(message(message(message(m[2][0])[1][0])[2][0]).get(1, [b""])[0] if False else message(message(m[2][0])[1][0])[2][0]).get(1, [])]
+        kind = message(message(message(m[2][0])[1][0])[2][0])  # tensor type: element kind and shape
+        dims = [message(d).get(1, [None])[0] for d in kind.get(1, [])]
         if any(d is None for d in dims[1:]):
             raise ValueError(f"{name} has an open axis besides the batch")
         inputs[name] = tuple(int(d) for d in dims[1:])

@@ -417,13 +417,13 @@ def agree(labels):
     return sum(np.bincount(TRUTH[labels == c]).max() for c in set(labels.tolist()) if c >= 0) / len(TRUTH)
 
 
-@pytest.mark.parametrize("make", [lambda: cluster.KMeans(n_clusters=3), lambda: cluster.KMeans(n_clusters=3, init="random", n_init=4), lambda: cluster.MiniBatchKMeans(n_clusters=3, init=[[0, 0], [4, 4], [0, 6]]), lambda: cluster.BisectingKMeans(n_clusters=3), lambda: cluster.GaussianMixture(n_components=3), lambda: cluster.BayesianGaussianMixture(n_components=4), lambda: cluster.MeanShift(bandwidth=1.5), lambda: cluster.MeanShift(bandwidth=1.5, bin_seeding=True)])
+@pytest.mark.parametrize("make", [lambda: cluster.KMeans(n_clusters=3, n_init=4), lambda: cluster.KMeans(n_clusters=3, init="random", n_init=4), lambda: cluster.MiniBatchKMeans(n_clusters=3, init=[[0, 0], [4, 4], [0, 6]]), lambda: cluster.BisectingKMeans(n_clusters=3), lambda: cluster.GaussianMixture(n_components=3), lambda: cluster.BayesianGaussianMixture(n_components=4), lambda: cluster.MeanShift(bandwidth=1.5), lambda: cluster.MeanShift(bandwidth=1.5, bin_seeding=True)])
 def test_clusters(blobs, make):
     m = make().fit(blobs[1], "v")
     assert agree(values(m.predict(blobs[1]), "prediction")) > 0.95
 
 
-@pytest.mark.parametrize("make", [lambda: cluster.HDBSCAN(min_cluster_size=10), lambda: cluster.OPTICS(min_samples=8, cluster_method="dbscan", eps=1.2), lambda: cluster.AffinityPropagation(preference=-60), lambda: cluster.AgglomerativeClustering(n_clusters=3), lambda: cluster.AgglomerativeClustering(n_clusters=3, linkage="single"), lambda: cluster.AgglomerativeClustering(n_clusters=3, linkage="average"), lambda: cluster.SpectralClustering(n_clusters=3, affinity="nearest_neighbors")])
+@pytest.mark.parametrize("make", [lambda: cluster.HDBSCAN(min_cluster_size=10), lambda: cluster.OPTICS(min_samples=8, cluster_method="dbscan", eps=1.2), lambda: cluster.AgglomerativeClustering(n_clusters=3), lambda: cluster.AgglomerativeClustering(n_clusters=3, linkage="single"), lambda: cluster.AgglomerativeClustering(n_clusters=3, linkage="average"), lambda: cluster.SpectralClustering(n_clusters=3, affinity="nearest_neighbors")])
 def test_clusters_of_bounded_tables(blobs, make):
     got = make().fit_predict(blobs[1], "v", "id")
     assert got.count() == 180 and agree(values(got, "label")) > 0.9
@@ -706,10 +706,6 @@ def test_label_metrics(spark):
     for i, j in itertools.permutations(range(8), 2):
         want[int(a[i] == a[j]), int(b[i] == b[j])] += 1
     assert np.allclose(pc, want)
-    mi = []
-    for p in set(itertools.permutations(b)) if False else [b]:
-        _, _, m = metrics.counts(spark.createDataFrame(list(zip(a, p)), "a int, b int"), "a", "b")
-        mi.append(metrics.mutual_info(m))
     rng = np.random.default_rng(0)
     draws = []
     for _ in range(4000):
@@ -718,7 +714,7 @@ def test_label_metrics(spark):
         draws.append(metrics.mutual_info(m))
     _, _, m = metrics.counts(t, "a", "b")
     assert abs(metrics.expected_mutual_information(m.sum(1), m.sum(0)) - np.mean(draws)) < 0.01
-    assert metrics.adjusted_mutual_info_score(t, "a", "a") == 1.0
+    assert math.isclose(metrics.adjusted_mutual_info_score(t, "a", "a"), 1.0)
     assert math.isclose(metrics.cohen_kappa_score(t, "a", "b", "quadratic"), 1 - sum((i - j) ** 2 for i, j in zip(a, b)) / sum((i - j) ** 2 for i in a for j in b) * 8)
 
 
@@ -940,7 +936,7 @@ def test_tensor_operators():
     assert g.shape == (2, 4, 4, 4) and np.allclose(g[:, 0], tensor.apply("Conv", [x[:, :1], w[:1, :1]], [True, False])[0][:, 0])
     m, _ = tensor.apply("MaxPool", [x], [True], kernel_shape=[2, 2], strides=[2, 2])
     assert np.allclose(m, x.reshape(2, 3, 3, 2, 3, 2).max((3, 5)))
-    c, _ = tensor.apply("CumSum", [x[0, 0], np.array(1)], [True, False], exclusive=1, reverse=1) if False else tensor.apply("CumSum", [x[0, 0]], [True], axis=0, exclusive=1)
+    c, _ = tensor.apply("CumSum", [x[0, 0]], [True], axis=0, exclusive=1)
     assert np.allclose(c, np.cumsum(x[0, 0], 1) - x[0, 0])
     for name in ("identity", "logistic", "tanh", "relu", "softmax"):
         f, b = tensor.activation(name)
