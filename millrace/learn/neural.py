@@ -408,23 +408,14 @@ def embedding_gradient(rows: DataFrame, position: str, gradient: str) -> DataFra
 
 
 def layer_norm_column(features: str, scale=None, bias=None, eps: float = 1e-5) -> Column:
-    """Each row's vector less its mean over its deviation, on the JVM."""
-    x = F.col(features).cast("array<double>")
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    var = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n
-    out = F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
-    if scale is not None:
-        out = F.zip_with(out, F.array(*[F.lit(float(v)) for v in scale]), lambda a, b: a * b)
-    if bias is not None:
-        out = F.zip_with(out, F.array(*[F.lit(float(v)) for v in bias]), lambda a, b: a + b)
-    return out
+    """Each row's vector less its mean over its deviation. By Arrow batches: as nested array functions Spark would work
+    the mean and the deviation out anew for every element."""
+    w, b = 1.0 if scale is None else np.asarray(scale, float), 0.0 if bias is None else np.asarray(bias, float)
+    return mapped(lambda x: (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + eps) * w + b, features, "array<double>")
 
 
 def rms_norm_column(features: str, eps: float = 1e-5) -> Column:
-    x = F.col(features).cast("array<double>")
-    size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v) / F.size(x) + eps)
-    return F.transform(x, lambda v: v / size)
+    return mapped(lambda x: x / np.sqrt((x * x).mean(1, keepdims=True) + eps), features, "array<double>")
 
 
 def cross_entropy_column(logits: str, target: str) -> Column:
