@@ -628,7 +628,7 @@ def test_graphs(spark):
     got = {x["id"]: x["rank"] for x in graph.pagerank(spark.createDataFrame(edges, "src long, dst long"), tol=1e-12, max_iter=60).collect()}
     assert np.allclose([got[k] for k in sorted(got)], r[sorted(got)], atol=1e-6)
     cliques = [(a + 10 * g, b + 10 * g) for g in range(3) for a, b in itertools.combinations(range(5), 2)] + [(0, 10), (10, 20)]
-    c = graph.Louvain().fit_predict(spark.createDataFrame(cliques, "a long, b long"))
+    c = graph.Louvain(max_levels=2, max_rounds=8).fit_predict(spark.createDataFrame(cliques, "a long, b long"))
     got = {r["id"]: r["community"] for r in c.collect()}
     assert all(got[a + 10 * g] == got[10 * g] for g in range(3) for a in range(5)) and len(set(got.values())) == 3
     assert graph.modularity(spark.createDataFrame(cliques, "a long, b long"), c) > 0.5
