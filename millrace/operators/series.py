@@ -22,7 +22,10 @@ statement("linear_trend", f"SELECT user_id, round(regr_slope(value, k), 5) AS sl
 statement("seasonal_means", f"SELECT CAST(k % 7 AS BIGINT) AS season, round(avg(value), 5) AS m FROM {EV} GROUP BY CAST(k % 7 AS BIGINT)")
 statement("croston_intervals", f"SELECT user_id, round(avg(value), 5) AS demand, count(*) AS n FROM {EV} WHERE value > 50 GROUP BY user_id")
 statement("tumbling_counts", "SELECT CAST(floor(unix_timestamp(ts) / 3600) AS BIGINT) AS hour_no, count(*) AS n, round(sum(value), 3) AS v FROM {events} GROUP BY CAST(floor(unix_timestamp(ts) / 3600) AS BIGINT)")
-statement("sessions", "SELECT user_id, sess, count(*) AS n FROM (SELECT user_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sess FROM (SELECT user_id, ts, event_id, CASE WHEN unix_timestamp(ts) - unix_timestamp(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 1800 THEN 1 ELSE 0 END AS fresh FROM {events})) GROUP BY user_id, sess")
+#: DuckDB's epoch() keeps fractions of a second where unix_timestamp() drops them, so the gap is a difference of timestamps.
+_GAP = "unix_timestamp(ts) - unix_timestamp(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 1800"
+_SESSIONS = "SELECT user_id, sess, count(*) AS n FROM (SELECT user_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sess FROM (SELECT user_id, ts, event_id, CASE WHEN " + _GAP + " THEN 1 ELSE 0 END AS fresh FROM {events})) GROUP BY user_id, sess"
+statement("sessions", _SESSIONS.replace(_GAP, "ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL '1800' SECOND"), _SESSIONS)
 statement("kfold_split", "SELECT o_orderkey, o_orderkey % 5 AS fold FROM {orders}")
 statement("stratified_kfold", "SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) % 5 AS BIGINT) AS fold FROM {orders}")
 statement("group_kfold", "SELECT o_custkey % 5 AS fold, count(*) AS n, count(DISTINCT o_custkey) AS groups_ FROM {orders} GROUP BY o_custkey % 5")
