@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.learn.base import bounded_matrix, rows_of, total, vector
-from millrace.learn.cluster import sq_distances
+from millrace.learn.cluster import first_k, sq_distances
 
 
 def counts(df: DataFrame, y: str, p: str, weight: str | None = None, limit: int = 4_000_000) -> tuple[list, list, np.ndarray]:
@@ -416,22 +416,35 @@ def calinski_harabasz_score(df: DataFrame, features, label: str) -> float:
     return between * (n - k) / (within * (k - 1)) if within > 0 else 1.0
 
 
-def trustworthiness(df: DataFrame, features, embedding, id_col: str, n_neighbors: int = 5, limit: int = 10_000) -> float:
-    """How far neighbours in the embedding are neighbours in the features, by ranks; a checked number of rows."""
+def trustworthiness(df: DataFrame, features, embedding, id_col: str, n_neighbors: int = 5, limit: int | None = None) -> float:
+    """How far neighbours in the embedding are neighbours in the features, by ranks. Every task gets all rows and
+    compares blocks of 256 with them; more than `limit`, if given, are refused."""
     x, ids = bounded_matrix(df, features, id_col, limit=limit, order=id_col)
     y, _ = bounded_matrix(df, embedding, id_col, limit=limit, order=id_col)
-    n, k, t = len(x), n_neighbors, 0.0
+    n, k, block = len(x), n_neighbors, 256
     if k >= n / 2:
         raise ValueError("n_neighbors must be below half the rows")
-    for at in range(0, n, 1024):
-        own = np.arange(at, min(n, at + 1024))
-        dx, dy = np.round(sq_distances(x[own], x), 12), np.round(sq_distances(y[own], y), 12)
-        dx[np.arange(len(own)), own] = dy[np.arange(len(own)), own] = np.inf
-        rank = np.empty(dx.shape, int)
-        order = np.argsort(dx, axis=1, kind="stable")
-        np.put_along_axis(rank, order, np.broadcast_to(np.arange(1, n + 1), dx.shape), 1)
-        near = np.argsort(dy, axis=1, kind="stable")[:, :k]
-        t += np.maximum(np.take_along_axis(rank, near, 1) - k, 0).sum()
+    spark = df.sparkSession
+    held = spark.sparkContext.broadcast((x, y))
+
+    def beyond(batches):
+        """By how many ranks the embedding's neighbours of a block's rows are too far in the features."""
+        x, y = held.value
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                own = np.arange(at, min(n, at + block))
+                dx, dy = np.round(sq_distances(x[own], x), 12), np.round(sq_distances(y[own], y), 12)
+                dx[np.arange(len(own)), own] = dy[np.arange(len(own)), own] = np.inf
+                t = 0
+                for near in first_k(dy, k).T:
+                    d = dx[np.arange(len(own)), near][:, None]
+                    rank = 1 + (dx < d).sum(1) + ((dx == d) & (np.arange(n) < near[:, None])).sum(1)
+                    t += int(np.maximum(rank - k, 0).sum())
+                yield pa.record_batch([pa.array([t], pa.int64())], ["t"])
+
+    blocks = spark.range(0, n, block, max(1, min(256, -(-n // block))))
+    t = blocks.mapInArrow(beyond, "t long").agg(F.sum("t")).first()[0]
+    held.destroy()
     return float(1 - t * 2 / (n * k * (2 * n - 3 * k - 1)))
 
 
