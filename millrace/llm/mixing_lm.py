@@ -117,30 +117,34 @@ class Vocabulary:
     are tokens that it held once.
     """
 
-    def __init__(self, pairs: list[tuple[int, int]], total: int, once: int):
-        pairs = sorted(pairs, key=lambda p: (-p[1], p[0]))
-        self.escape = len(pairs)
-        counts = [c for _, c in pairs]
-        order = np.argsort(np.array([h for h, _ in pairs], np.int64), kind="stable")
-        self.hashes = np.array([h for h, _ in pairs], np.int64)[order]
-        self.ids = order.astype(np.int64)
-        self.counts = np.array([*counts, 0], np.float64)
-        self.end = next((k for k, (h, _) in enumerate(pairs) if h == END_HASH), self.escape)
-        self.rest = total - sum(counts) + once + 1
-        weights = [*counts, self.rest]
+    def __init__(self, pairs, total: int, once: int):
+        h, c = np.array(pairs, np.int64).reshape(-1, 2).T
+        ranked = np.lexsort((h, -c))
+        h, c = h[ranked], c[ranked]
+        self.escape = len(h)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.ids = h[order], order.astype(np.int64)
+        self.counts = np.append(c, 0).astype(np.float64)
+        self.end = int(end[0]) if len(end := np.nonzero(h == END_HASH)[0]) else self.escape
+        self.rest = total - int(c.sum()) + once + 1
+        weights = np.append(c, self.rest)
         n = len(weights)
-        heap = [(w, k) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, side = [0] * (2 * n), [0] * (2 * n)
-        at = n
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for bit, x in ((0, a[1]), (1, b[1])):
+        parent, side = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int8)
+        # leaves in ascending order and joined nodes, which come up in that order: the least is first in either
+        leaves, joined = np.argsort(weights, kind="stable"), np.empty(n, np.int64)
+        low, i, j, at = weights[leaves], 0, 0, n
+        while at < 2 * n - 1:
+            w = 0
+            for bit in (0, 1):
+                if i < n and (j == at - n or low[i] <= joined[j]):
+                    x, w, i = leaves[i], w + low[i], i + 1
+                else:
+                    x, w, j = n + j, w + joined[j], j + 1
                 parent[x], side[x] = at, bit
-            heapq.heappush(heap, (a[0] + b[0], at))
+            joined[at - n] = w
             at += 1
         root = at - 1
-        up, turn = np.array(parent, np.int64), np.array(side, np.int8)
+        up, turn = parent, side
         steps, x = [], np.arange(n)
         while (live := x != root).any():
             steps.append((np.nonzero(live)[0], up[x[live]] - n, turn[x[live]]))
@@ -362,9 +366,13 @@ class Mixer:
         self.path = []
         for k in range(2):
             c = counts[SPELL_CELLS + k * (2 << PATH_BITS) :][: 2 << PATH_BITS].reshape(-1, 2)
-            n = c.sum(1, dtype=np.int64)
-            p = (c[:, 1] + 0.3) / (n + 0.6)
-            self.path.append(pack(np.log(p / (1 - p)), n))
+            codes = np.empty(len(c), np.uint16)
+            for at in range(0, len(c), 1 << 17):  # the driver makes these: its temporary arrays stay small
+                part = c[at : at + (1 << 17)]
+                n = part.sum(1, dtype=np.int64)
+                p = (part[:, 1] + 0.3) / (n + 0.6)
+                codes[at : at + len(part)] = pack(np.log(p / (1 - p)), n)
+            self.path.append(codes)
         self.start = self.first_weights()
         self.learn(counts, texts)
 
@@ -595,8 +603,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     free_shuffles(spark)
     total, distinct, once = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long"))).first()
     total, once = total or 0, once or 0
-    top = [(r["h"], r["c"]) for r in counts.where("c > 1").orderBy(F.desc("c"), "h").limit(head).collect()]
-    voc = Vocabulary(top, total, once)
+    # collect() would bring `head` rows of every task to the driver, which picks among them; here one task does
+    top = counts.where("c > 1").orderBy(F.desc("c"), "h").limit(head).toArrow()
+    voc = Vocabulary(np.stack([top["h"].to_numpy(), top["c"].to_numpy()], 1), total, once)
+    del top
     shared = spark.sparkContext.broadcast(voc)
     table = np.zeros(ALL_CELLS, np.int32)
     for r in merged(map_arrow(train, _table_rows(shared), "block int, salt int, counts binary"), _sum_blocks, "block int, counts binary").toLocalIterator():
@@ -604,8 +614,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         at = r["block"] * BLOCK_CELLS
         table[at : at + BLOCK_CELLS] = part[: ALL_CELLS - at]
     free_shuffles(spark)
-    model = spark.sparkContext.broadcast(Mixer(table, voc))
-    del table
+    mixer = Mixer(table, voc)
+    del table  # before the broadcast writes the model
+    model = spark.sparkContext.broadcast(mixer)
+    del mixer
     id_type = docs.schema[id_col].dataType.simpleString()
     scored = map_arrow(x.select("id", "text", "held_out"), _score_rows(model), f"id {id_type}, held_out boolean, n_tokens long, part double, known long, rest array<bigint>, spelled array<float>, n_bytes long, bits double")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
